@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "exact_dedup")
+MODULES = ("simhash", "token_blocks", "exact_dedup", "packing")
 
 
 def queries() -> dict:
