@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "token_blocks", "exact_dedup", "packing")
+MODULES = ("simhash", "language_id", "token_blocks", "exact_dedup", "toxicity", "packing")
 
 
 def queries() -> dict:
