@@ -1,6 +1,7 @@
 import random
 import zlib
 from array import array
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -15,19 +16,22 @@ WORD, BYTE = tokenizer_path("word_bpe_49k.json"), tokenizer_path("byte_bpe_50k.j
 TEXTS = ["é́ ſ K <|endoftext|>  x\r\n\x1c ▁ 漢字 😀", "  a  b \n\n c  ", " \n ", "ab c ", "don't, we'll  O'Neil's\n\nx ", " ́x a ́̕ ΑΣ Σ. İ ŉ", "x" * 300 + " y " + "z" * 100, None, "", "a \n b", "a\tb  c", "ab  \n"]
 
 
-def ids_of(path, text, end):
+@cache
+def tokenizer(path):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [end]
+    return t
+
+
+def ids_of(path, text, end):
+    return tokenizer(path).encode(text or "", add_special_tokens=False).ids + [end]
 
 
 @pytest.mark.parametrize("path,drops", [(WORD, True), (BYTE, False)])
 def test_units_equal_whole_texts(spark, sf_dir, path, drops):
     texts = TEXTS + [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     found = list(encoder(path, drops).batch(texts))
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    assert found == [array("I", e.ids).tobytes() for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    assert found == [array("I", e.ids).tobytes() for e in tokenizer(path).encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5000])
@@ -41,12 +45,13 @@ def test_blocks_round_trip(n, high):
     starts, payload = token_blocks.pack_blocks(ids)
     assert (token_blocks.unpack_blocks(starts, payload, n) == ids).all()
     if n > 300:  # any block on its own
-        one = token_blocks.unpack_blocks(starts[2:4] - starts[2], payload[int(starts[2]) : int(starts[3])], 128)
-        assert (one == ids[256:384]).all()
+        k = token_blocks.BLOCK
+        one = token_blocks.unpack_blocks(starts[2:4] - starts[2], payload[int(starts[2]) : int(starts[3])], k)
+        assert (one == ids[2 * k : 3 * k]).all()
 
 
 def test_outliers_are_exceptions():
-    ids = np.full(128, 3, np.uint32)
+    ids = np.full(token_blocks.BLOCK, 3, np.uint32)
     ids[5] = 1 << 30
     starts, payload = token_blocks.pack_blocks(ids)
     assert payload[0] == 0 and payload[1] == 1 and len(payload) == 6 + 5

@@ -15,12 +15,13 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Units kept by a worker; a unit longer than UNIT_CHARS is encoded each time.
-CACHE, UNIT_CHARS = 600_000, 64
+CACHE, UNIT_CHARS = 1_000_000, 64
 #: Characters that no normaliser composes and whose lower case depends on nothing else.
 _PLAIN = r"[!-~\u00a1-\u012f\u0131-\u02ff]+"
 _SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space but blank and line feed, by any definition in use.
 _EXOTIC = re.compile(r"[^\S \n]|[\x1c-\x1f\x85\u180e\u200b\ufeff]")
+_ENDS = ".,"
 
 _encoders: dict[tuple, UnitEncoder] = {}
 
@@ -38,12 +39,13 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not specials
         self.drops_space = drops_space
-        self.cache: dict[str, bytes] = {"": b""}
+        self.cache = _Ids(self)
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character for each byte
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token.removesuffix("</w>") if drops_space else token)
         self.plain = re.compile(_PLAIN if drops_space else f"[ \\n]+{_PLAIN}")
+        self.ends = {c: self.whole(c) for c in _ENDS}
         self.glue = " " if drops_space else ""
 
     def _alone(self, text: str) -> list[int]:
@@ -54,12 +56,12 @@ class UnitEncoder:
 
     def _units(self, text: str) -> list[str] | None:
         if self.drops_space:
+            if "\u0130" not in text and "\u03a3" not in text:  # the others' lower case depends on nothing else
+                text = text.lower()
             return text.replace("\n", " ").split(" ")
         return None if _EXOTIC.search(text) else _SPACED.findall(text)
 
-    def _learn(self, units: list[str]) -> None:
-        if len(self.cache) + len(units) > CACHE:
-            self.cache = {"": b""}
+    def _learn(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
         joined, alone = [], []
         for u in units:
             (joined if self.plain.fullmatch(u) else alone).append(u)
@@ -75,36 +77,52 @@ class UnitEncoder:
                 continue
             data, start = ids.tobytes(), 0
             for u, stop in zip(some, ((last + 1) * 4).tolist(), strict=True):
-                self.cache[u] = data[start:stop]
+                yield u, data[start:stop]
                 start = stop
         if alone:
             for u, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-                self.cache[u] = array("I", e.ids).tobytes()
+                yield u, array("I", e.ids).tobytes()
+
+    def _fill(self, new: dict[str, bytearray]) -> None:
+        """The ids of the units that a batch has met first; those of plain units that end in a mark after a letter, where a pre-token always ends, are put together."""
+        ended = {u: u[:-1] for u in new if u[-1] in _ENDS and u[-2:-1].isalpha() and self.plain.fullmatch(u)}
+        cache = self.cache
+        stems = {s for s in ended.values() if s not in cache}
+        for u, ids in self._learn([u for u in new if u not in ended] + list(stems)):
+            if u in new:
+                new[u] += ids
+            cache[u] = ids
+        for u, s in ended.items():
+            cache[u] = ids = cache[s] + self.ends[u[-1]]
+            new[u] += ids
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text (null: empty) as little-endian unsigned 32-bit integers."""
-        cut = [self._units(t or "") for t in texts]
-        missing: set[str] = set()
-        for units in cut:
-            if units:
-                missing.update(set(units).difference(self.cache))
-        missing = {u for u in missing if len(u) <= UNIT_CHARS}
-        if missing:
-            before = self.cache
-            self._learn(list(missing))
-            if self.cache is not before:  # it was emptied
-                again = {u for units in cut if units for u in units if len(u) <= UNIT_CHARS and u not in self.cache}
-                if again:
-                    self._learn(list(again))
-        cache, whole = self.cache, self.whole
-        for text, units in zip(texts, cut, strict=True):
-            if units is None:
-                yield whole(text)
-                continue
-            try:
-                yield b"".join([cache[u] for u in units])
-            except KeyError:
-                yield b"".join([cache[u] if u in cache else whole(u) for u in units])
+        if len(self.cache) > CACHE:
+            self.cache = _Ids(self)
+        get, new = self.cache.__getitem__, self.cache.new
+        found = []
+        for text in texts:
+            units = self._units(text or "")
+            found.append(text if units is None else list(map(get, units)))
+        self._fill(new)
+        new.clear()
+        for ids in found:
+            yield self.whole(ids) if isinstance(ids, str) else b"".join(ids)
+
+
+class _Ids(dict):
+    """Ids of units. A unit that is met first gets an array that is filled before the batch ends; a long one is encoded each time."""
+
+    def __init__(self, own: UnitEncoder) -> None:
+        super().__init__({"": b""})
+        self.own, self.new = own, {}
+
+    def __missing__(self, unit: str) -> bytes | bytearray:
+        if len(unit) > UNIT_CHARS:
+            return self.own.whole(unit)
+        self[unit] = self.new[unit] = ids = bytearray()
+        return ids
 
 
 def encoder(path: str, drops_space: bool, specials: bool = False) -> UnitEncoder:
