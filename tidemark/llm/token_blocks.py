@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 from tidemark.llm._shared import slices, written
 from tidemark.llm.encoding import encoder, tokenizer_path
 
-BLOCK, PERCENTILE, SEGMENT_IDS, END_ID = 128, 90, 1 << 16, 1
+BLOCK, PERCENTILE, SEGMENT_IDS, END_ID = 256, 90, 1 << 16, 1
 _HEAD = struct.Struct("<4sIQQ")
 _BLOCK = struct.Struct("<BBI")
+_NONE = np.zeros(0, np.int64)
 _WIDTHS = np.array([int(v).bit_length() for v in range(1 << 16)], np.uint8)
 
 
