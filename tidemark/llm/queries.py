@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "language_id", "token_blocks", "exact_dedup", "norm_search", "toxicity", "secret_scan", "packing")
+MODULES = ("simhash", "language_id", "token_blocks", "exact_dedup", "line_dedup", "norm_search", "toxicity", "secret_scan", "packing")
 
 
 def queries() -> dict:
