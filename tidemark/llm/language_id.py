@@ -99,10 +99,13 @@ class Model:
                 by_order.append((keys, _hash(s, ends - 1, n - 1) if n > 1 else np.zeros(len(keys), np.uint64), _hash(s, ends, n - 1) if n > 1 else None, counts))
             grams.append(by_order)
         self.keys, self.probs, self.contexts, self.weights = [], [], [], []
+        self.scale, self.accept = 10.0, np.full(len(self.langs), np.inf)
+        if not grams:
+            return
         self.floor = 1.0 / (1 + len(np.unique(np.concatenate([g[0][0] for g in grams])))) if grams else 1.0
         for n in range(1, order + 1):
-            keys, first = np.unique(np.concatenate([g[n - 1][0] for g in grams] or [np.zeros(0, np.uint64)]), return_index=True)
-            context = np.concatenate([g[n - 1][1] for g in grams] or [np.zeros(0, np.uint64)])
+            keys, first = np.unique(np.concatenate([g[n - 1][0] for g in grams]), return_index=True)
+            context = np.concatenate([g[n - 1][1] for g in grams])
             contexts = np.unique(context)
             context = context[first]
             if n > 1:
@@ -134,7 +137,6 @@ class Model:
             self.weights.append(weights)
         self.probs = [p.astype(np.float32) for p in self.probs]
         self.weights = [w.astype(np.float32) for w in self.weights]
-        self.scale, self.accept = 10.0, np.full(len(self.langs), np.inf)
 
     def _log_probs(self, s: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log-probabilities of the symbols at the given places, a column for each language."""

@@ -19,13 +19,14 @@ minimum (component_id is null if a component has no other). Repeated rows are ro
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import combinations, groupby, islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm._shared import signed, slices, written
 from tidemark.llm.components import components
@@ -129,8 +130,6 @@ def shard_links(rows: Iterator[tuple[int, int, object]], radius: int, same: Call
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[Iterator[dict]]:
     """The runs of rows with equal keys of a sorted partition, each to be read before the next."""
-    from itertools import groupby
-
     rows = (row for batch in batches for piece in slices([batch], None) for row in piece.to_pylist())
     for _, run in groupby(rows, key=lambda r: tuple(r[k] for k in keys)):
         yield run
@@ -209,6 +208,91 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(values, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Bands of two minimum hashes that deal near-duplicate candidates into shards, and the tree's radius there.
+BANDS, VERIFIED_RADIUS, VERIFIED_CAP = 5, 20, 2000
+_ODD = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) + 2 * k * k & (1 << 64) - 1 | 1 for k in range(2 * BANDS)], np.uint64)
+
+
+def _band_keys(hashes: np.ndarray) -> list[int]:
+    least = []
+    for k, odd in enumerate(_ODD):
+        mixed = (hashes ^ (hashes >> np.uint64(29))) * odd
+        least.append(int((mixed ^ (mixed >> np.uint64(32))).min()))
+    return [signed(xxhash.xxh64_intdigest(b"%d %d %d" % (k, least[2 * k], least[2 * k + 1]), SEED)) for k in range(BANDS)]
+
+
+def alike(x: bytes, y: bytes, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sets, sorted unsigned 32-bit values, is at least `similarity`."""
+    a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, cap: int = VERIFIED_CAP) -> DataFrame:
+    """(id, h, keep_id, keep_h) of every distinct (doc_id, text hash): the row of its group that stays, the smallest (null last).
+
+    Texts link if their sets of shingles have a Jaccard similarity of at least `similarity`, decided
+    exactly on each candidate pair (on 32-bit hashes of the shingles). Fingerprints alone can't find
+    such pairs (they differ in about ten bits at 0.8), so that shards are dealt by bands of two
+    minimum hashes of the shingles, of which two texts at 0.8 share one of five with probability 0.994;
+    within a shard the BK-tree proposes fingerprints within VERIFIED_RADIUS bits, nearest first.
+    A shard of more than `cap` texts is dealt again by pairs of bands; beyond that it is read in
+    pieces of `cap` texts, each beginning with the shard's first text.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches):
+            rows: list[tuple] = []
+            for text in piece.column("text").to_pylist():
+                hashes = shingle_hashes(text, shingle)
+                uid = signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+                rows.append((uid, signed(fingerprint(hashes)), _band_keys(hashes) if len(hashes) else [], np.unique(hashes.astype(np.uint32)).astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("id"), piece.column("h"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())))], names=["id", "h", "uid", "fp", "bands", "shingles"]
+            )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links() -> Iterator[tuple[int, int]]:
+            for run in grouped(batches, ["key", "sub"]):
+                rows = [(r["uid"], r["fp"] & (1 << 64) - 1, r["shingles"]) for r in islice(run, cap)]
+                first = rows[:1]
+                while rows:
+                    yield from shard_links(iter(rows), VERIFIED_RADIUS, lambda x, y: alike(x, y, similarity))
+                    more = [(r["uid"], r["fp"] & (1 << 64) - 1, r["shingles"]) for r in islice(run, cap)]
+                    rows = more and first + more
+
+        return _emit(links())
+
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    signs = written(keyed.mapInArrow(sign, "id long, h long, uid long, fp long, bands array<long>, shingles binary"), "signatures")
+    texts = signs.groupBy("uid").agg(F.min("fp").alias("fp"), F.min("bands").alias("bands"))
+    dealt = texts.select("uid", "fp", "bands", F.explode("bands").alias("key"))
+    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = written(dealt.join(sizes, "key"), "shards")
+    first = dealt.where(F.col("n") <= cap).select("key", F.lit(0).cast("long").alias("sub"), "uid", "fp")
+    again = dealt.where(F.col("n") > cap).select("key", F.explode(F.array_remove("bands", F.col("key"))).alias("sub"), "uid", "fp")
+    sets = signs.select("uid", "shingles").join(dealt.select("uid").distinct(), "uid", "left_semi").groupBy("uid").agg(F.min("shingles").alias("shingles"))
+    shards = first.unionByName(again).join(sets, "uid").repartition("key", "sub").sortWithinPartitions("key", "sub", "uid")
+    links = shards.select("key", "sub", "uid", "fp", "shingles").mapInArrow(search, "a long, b long")
+    roots = written(components(links), "roots")
+    place = F.struct(F.col("id").isNull().alias("null"), "id", "h")
+    members = signs.select("id", "h", "uid").join(roots, F.col("uid") == F.col("a"), "left").select("id", "h", F.coalesce("root", "uid").alias("root"))
+    least = members.groupBy("root").agg(F.min(place).alias("keep"))
+    return members.join(least, "root").select("id", "h", F.col("keep.id").alias("keep_id"), F.col("keep.h").alias("keep_h")).distinct()
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that stay: one of each group of near duplicates. Texts without words are one group."""
+    found = near_duplicates(docs, id_col, text_col, shingle, similarity)
+    gone = found.where(~(F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h")))).select(F.col("id").alias("_id"), F.col("h").alias("_h"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"))
+    rows = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_anti")
+    own = rows.withColumn("place", F.row_number().over(Window.partitionBy("id", "h").orderBy("h")))  # of repeated rows one
+    return own.where("place = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -253,8 +253,8 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(lexicon, prior, trees, *isotonic(trees.margins(np.array([r["x"] for r in hold], np.float64)), z))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with the column toxicity (0 to 1) beside its own."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:
+    """docs with the column `name` (0 to 1) beside its own."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LEXICON and TREES
 
     def apply(batches):
@@ -262,7 +262,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.array(shared.value.scores(batch.to_pylist()), pa.float64())
 
     toxicity = F.arrow_udf(apply, "double", F.ArrowUDFType.SCALAR_ITER)
-    return docs.withColumn("toxicity", toxicity(F.col(text_col)))
+    return docs.withColumn(name, toxicity(F.col(text_col)))
 
 
 def held_out(doc_id) -> F.Column:
