@@ -80,9 +80,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     gone = repeated_chunks(keyed, sent).groupBy("id", "h").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     gone = gone.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["start"], r["stop"])))).alias("_gone"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    rows = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    # the text goes through the join once, within its row
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"))
+    rows = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").withColumn("text", F.col("row")[text_col])
     rows = rows.withColumn("lines", F.when(F.col("_gone").isNotNull(), F.split("text", "\n", -1)))
     rows = rows.withColumn("kept", F.when(F.col("_gone").isNotNull(), F.array_except(_numbered(F.col("lines")), F.col("_gone"))))
     clean = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n"))
