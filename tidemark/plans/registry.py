@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("panel", "timeline", "records", "models")
+MODULES = ("panel", "timeline", "records", "models", "streams")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
