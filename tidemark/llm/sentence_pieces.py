@@ -54,6 +54,7 @@ class Pieces:
             self.bytes_of[i] = piece.replace(MARK, " ").encode()
         for b, i in enumerate(self.byte_ids):
             self.bytes_of[i] = bytes([b])
+        self.packed = {piece: array("I", [i]).tobytes() for piece, i in self.ids.items()}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
 
@@ -82,14 +83,8 @@ class Pieces:
         return found
 
     def _ids(self, pieces: list[str]) -> bytes:
-        out: list[int] = []
-        for p in pieces:
-            i = self.ids.get(p)
-            if i is None:
-                out += [self.byte_ids[b] for b in p.encode()]
-            else:
-                out.append(i)
-        return array("I", out).tobytes()
+        packed = self.packed
+        return b"".join([packed[p] if p in packed else array("I", [self.byte_ids[b] for b in p.encode()]).tobytes() for p in pieces])
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """The ids of distinct words, in one walk over them in order."""
@@ -105,7 +100,7 @@ class Pieces:
                 common += 1
             del last[common + 1 :], forward[common + 1 :]
             for i in range(common + 1, n + 1):
-                for start in range(max(0, i - longest), i):  # of the pieces that end here one fits
+                for start in range(i - 1, max(0, i - longest) - 1, -1):  # of the pieces that end here one fits, mostly a short one
                     piece = word[start:i]
                     score = scores.get(piece)
                     if score is None:
