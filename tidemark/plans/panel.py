@@ -225,7 +225,7 @@ def row_identity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leakage_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean absolute rank correlation per feature of a session's values with the target, and with the asset's target a row earlier."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("market"), F.col("l_shipdate").cast("date").alias("session"), "l_orderkey", "l_linenumber", (F.col("l_discount") - 0.05).alias("target"), "l_quantity", "l_extendedprice", "l_tax")
-    li = li.withColumn("placebo", F.lag("target").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "session")))
+    li = li.withColumn("placebo", F.lag("target").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "session", "target")))
     long = li.unpivot(["market", "session", "target", "placebo"], ["l_quantity", "l_extendedprice", "l_tax"], "feature", "value")
     keys = ["feature", "market", "session"]
 
@@ -495,7 +495,21 @@ WITH k AS (SELECT count(*) AS n, count(*) FILTER (l_quantity <= 0) AS low, count
   count(*) FILTER (l_shipdate >= TIMESTAMP '2001-01-01') AS late FROM lineitem GROUP BY l_orderkey, l_linenumber)
 SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) FILTER (n > 1) AS repeated_keys, CAST(sum(low) AS BIGINT) AS out_of_range, CAST(sum(odd) AS BIGINT) AS not_finite, CAST(sum(late) AS BIGINT) AS after_cut FROM k""",
     ),
-    "leakage_scan": (leakage_scan, None),
+    "leakage_scan": (
+        leakage_scan,
+        """
+WITH l AS (SELECT l_returnflag AS market, CAST(l_shipdate AS DATE) AS session, l_orderkey, l_linenumber, l_discount - 0.05 AS target, l_quantity, l_extendedprice, l_tax FROM lineitem),
+p AS (SELECT *, lag(target) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, session, target) AS placebo FROM l),
+u AS (SELECT market, session, target, placebo, feature, value FROM p UNPIVOT (value FOR feature IN (l_quantity, l_extendedprice, l_tax))),
+s AS (SELECT feature, market, session, value, target AS y, 't' AS side FROM u UNION ALL SELECT feature, market, session, value, placebo, 'p' FROM u WHERE placebo IS NOT NULL),
+r AS (SELECT side, feature, market, session,
+  rank() OVER (PARTITION BY side, feature, market, session ORDER BY value) + (count(*) OVER (PARTITION BY side, feature, market, session, value) - 1) / 2.0 AS x,
+  rank() OVER (PARTITION BY side, feature, market, session ORDER BY y) + (count(*) OVER (PARTITION BY side, feature, market, session, y) - 1) / 2.0 AS y FROM s),
+c AS (SELECT side, feature, market, session, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y FROM r WINDOW w AS (PARTITION BY side, feature, market, session)),
+k AS (SELECT side, feature, market, session, round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 9) AS r FROM c GROUP BY ALL HAVING count(*) >= 4 AND sum(x * x) >= 1e-12 AND sum(y * y) >= 1e-12),
+m AS (SELECT feature, count(*) FILTER (side = 't') AS target_sessions, round(avg(abs(r)) FILTER (side = 't'), 7) AS target_mean, count(*) FILTER (side = 'p') AS placebo_sessions, round(avg(abs(r)) FILTER (side = 'p'), 7) AS placebo_mean FROM k GROUP BY ALL)
+SELECT feature, target_sessions, target_mean, placebo_sessions, placebo_mean, target_mean > placebo_mean + 0.1 AS flag FROM m""",
+    ),
     "extreme_row_share": (
         extreme_row_share,
         f"""
