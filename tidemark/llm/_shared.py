@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and text bytes that a Python worker turns into Python objects at a time.
 SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
@@ -45,6 +46,19 @@ def drop_written(df: DataFrame) -> None:
             where.getFileSystem(conf).delete(where, True)
 
 
+def hot_join(rows: DataFrame, side: DataFrame, key: str, most: int = 4096, least: int = 64) -> DataFrame:
+    """rows joined with side, which has at most one row a key, on the column `key`; keys that many rows share don't meet in one task.
+
+    The at most `most` keys with `least` rows or more, and over a hundred-thousandth of all, are
+    counted with a map-side aggregation; their sides are broadcast, all others joined as usual.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    total = rows.count()
+    hot = counts.where(F.col("_n") > total * 1e-5).orderBy(F.desc("_n"), key).limit(most).select(key)
+    sides = written(side.join(F.broadcast(hot), key, "left_semi").coalesce(1), "hot")
+    return rows.join(F.broadcast(sides), key).unionByName(rows.join(F.broadcast(sides.select(key)), key, "left_anti").join(side, key))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str | None = "text") -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most SLICE_ROWS rows and, but for single rows, about SLICE_BYTES of text."""
     for batch in batches:

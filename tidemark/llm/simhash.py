@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm._shared import signed, slices, written
+from tidemark.llm._shared import hot_join, signed, slices, written
 from tidemark.llm.components import components
 
 SEED = 42
@@ -204,8 +204,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = roots.unionByName(roots.select(F.col("root").alias("a"), "root").distinct())
     named = linked.join(values, linked["a"] == values["fp"]).groupBy("root").agg(F.min("least").alias("component"))
     named = linked.join(named, "root").select(F.col("a").alias("fp"), "component")
-    values = values.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return rows.join(values, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    values = written(values.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "components")
+    return hot_join(rows, values, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: Bands of two minimum hashes that deal near-duplicate candidates into shards, and the tree's radius there.
@@ -278,9 +278,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = shards.select("key", "sub", "uid", "fp", "shingles").mapInArrow(search, "a long, b long")
     roots = written(components(links), "roots")
     place = F.struct(F.col("id").isNull().alias("null"), "id", "h")
-    members = signs.select("id", "h", "uid").join(roots, F.col("uid") == F.col("a"), "left").select("id", "h", F.coalesce("root", "uid").alias("root"))
-    least = members.groupBy("root").agg(F.min(place).alias("keep"))
-    return members.join(least, "root").select("id", "h", F.col("keep.id").alias("keep_id"), F.col("keep.h").alias("keep_h")).distinct()
+    # texts to their groups, then groups to the row that stays; both ways a large group's rows are spread
+    own = signs.groupBy("uid").agg(F.min(place).alias("least")).join(roots, F.col("uid") == F.col("a"), "left")
+    own = written(own.select("uid", "least", F.coalesce("root", "uid").alias("root")), "groups")
+    kept = written(own.groupBy("root").agg(F.min("least").alias("keep")), "kept")
+    texts = hot_join(own.select("uid", "root"), kept, "root").select("uid", "keep")
+    return hot_join(signs.select("id", "h", "uid"), written(texts, "texts"), "uid").select("id", "h", F.col("keep.id").alias("keep_id"), F.col("keep.h").alias("keep_h")).distinct()
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
