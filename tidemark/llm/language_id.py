@@ -229,8 +229,11 @@ def learned(docs: DataFrame, docs_each: int = SAMPLE_DOCS, order: int = ORDER) -
     """The models, learned from the bounded sample; docs: id, text, lang of the rows that may be learned from."""
     keys = docs.where("id is not null and lang is not null").select("id", "lang")
     langs = keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    keys = keys.join(F.broadcast(langs.select("lang")), "lang").withColumn("place", F.row_number().over(first)).where(F.col("place") <= docs_each)
+    # far more than the sample, in the order of the hash, but not a language's rows all in one task
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    few = place < F.lit(float(1 << 40)) * (4 * docs_each + 200) / F.col("count")
+    keys = keys.join(F.broadcast(langs), "lang").where(few)
+    keys = keys.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(place, "id"))).where(F.col("place") <= docs_each).select("id", "lang", "place")
     rows = docs.join(F.broadcast(keys), ["id", "lang"]).where(F.length("text") <= SAMPLE_CHARS)
     rows = rows.select("lang", "text", "place").limit(2 * docs_each * MAX_LANGS).collect()
     rows.sort(key=lambda r: (r["lang"], r["place"], r["text"]))
