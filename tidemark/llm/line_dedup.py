@@ -63,11 +63,22 @@ def chunked(docs: DataFrame, texts: bool = False) -> DataFrame:
     return rows.select("id", "h", F.explode_outer("chunks").alias("c")).where("c is not null").select("id", "h", "c.*")
 
 
+def _fetched(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunks with their texts, for any number of them: their places go to their documents, once, not all chunks' texts to their hashes."""
+    wanted = chunks.groupBy("id", "h").agg(F.collect_set(F.struct("start", "stop", "chunk")).alias("wanted"))
+    wanted = wanted.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "wanted")
+    rows = docs.where("text is not null").select("id", "text", F.xxhash64("text").alias("h"))
+    rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("id", "h", F.split("text", "\n", -1).alias("lines"), "wanted")
+    text = lambda c: F.array_join(F.slice("lines", c["start"] + 1, c["stop"] - c["start"] + 1), "\n")
+    rows = rows.select("id", "h", F.transform("wanted", lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["chunk"].alias("chunk"), text(c).alias("bytes"))).alias("chunks"))
+    return rows.select("id", "h", F.explode_outer("chunks").alias("c")).where("c is not null").select("id", "h", "c.*")
+
+
 def repeated_chunks(docs: DataFrame, sent: int = SENT) -> DataFrame:
     """(id, h, start, stop) of the chunks to remove: equal to an earlier one, byte by byte."""
     common = written(chunked(docs).groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk"), "chunks")
     few = common.count() <= sent
-    seen = chunked(docs, texts=True).join(F.broadcast(common) if few else common, "chunk", "left_semi")
+    seen = chunked(docs, texts=True).join(F.broadcast(common), "chunk", "left_semi") if few else _fetched(docs, chunked(docs).join(common, "chunk", "left_semi"))
     seen = written(seen.where(F.length("bytes") >= LEAST_CHARS), "repeated")
     place = F.struct("id", "h", "start")
     first = seen.groupBy("chunk").agg(F.min(place).alias("first"), F.min_by("bytes", place).alias("kept"))
