@@ -7,9 +7,8 @@ the dynamic programme finds the cheapest segmentation into known words, dates, r
 walks and brute-force spans, as log10 of the guesses they take, and the span counts from LEAST on.
 A value within a base span of kind `assign` is not reported again.
 
-Starts and ends are code points, ends exclusive. Null counts as empty: no spans. Values of more than
-MAX_VALUE characters are judged by the cheapest segmentation of their whole length as well, in
-linear time, since every segment but a repeat or walk is bounded.
+Starts and ends are code points, ends exclusive. Null counts as empty: no spans. A value of more than
+MAX_VALUE characters costs what its pieces of that length cost together, and is read until it counts.
 """
 
 from __future__ import annotations
@@ -53,7 +52,7 @@ _NEXT = {(a, b) for row in _ROWS for a, b in zip(row, row[1:], strict=False)}
 _NEXT |= {(b, a) for a, b in _NEXT} | {(a, b) for upper, lower in zip(_ROWS[:3], _ROWS[1:4], strict=True) for a, b in zip(upper, lower, strict=False)}
 _DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01]))|(?:(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d)|(?:(?:19|20)\d\d)")
 _LONGEST_WORD = max(map(len, WORDS))
-#: How far a value reaches that is looked at in pieces.
+#: Characters of a value that are segmented at a time.
 MAX_VALUE = 512
 
 
@@ -109,9 +108,14 @@ def guess_cost(value: str) -> float:
     return cost[n]
 
 
-def value_cost(value: str) -> float:
-    """guess_cost of a value of any length: the costs of its pieces of MAX_VALUE characters together."""
-    return sum(guess_cost(value[at : at + MAX_VALUE]) for at in range(0, len(value), MAX_VALUE))
+def costly(value: str, least: float = LEAST) -> bool:
+    """Whether guessing a value of any length takes 10 ** least guesses or more."""
+    total = 0.0
+    for at in range(0, len(value), MAX_VALUE):
+        total += guess_cost(value[at : at + MAX_VALUE])
+        if total >= least:
+            return True
+    return False
 
 
 def find(text: str | None) -> list[tuple[int, str, int]]:
@@ -136,7 +140,7 @@ def find(text: str | None) -> list[tuple[int, str, int]]:
         a = m.start(1)
         value = m[1].rstrip(".,:;)]}")
         b = a + len(value)
-        if len(value) >= SHORTEST and (a, b) not in taken and not any(s <= a and b <= e for s, _, e in assigned) and value_cost(value) >= LEAST:
+        if len(value) >= SHORTEST and (a, b) not in taken and not any(s <= a and b <= e for s, _, e in assigned) and costly(value):
             taken.add((a, b))
             out.append((a, 3, b))
     return [(a, KINDS[k], b) for a, k, b in sorted(out)]

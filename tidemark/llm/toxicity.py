@@ -216,7 +216,7 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
     """Terms with their log-odds in toxic against other texts; rows: text, toxic."""
     counts = rows.select("text", "toxic").mapInArrow(_count_terms, "term string, toxic int, uses long, docs long")
     counts = counts.groupBy("term").agg(*[F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}") for c in ("uses", "docs") for k in (0, 1)])
-    total = {int(r["toxic"]): float(r["n"]) for r in rows.groupBy("toxic").agg((F.sum(F.size(F.split("text", r"\s+"))) + 1).alias("n")).collect()}
+    total = {int(r["toxic"]): float(r["n"]) for r in rows.groupBy("toxic").agg((F.coalesce(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))), F.lit(0)) + 1).alias("n")).collect()}
     if len(total) < 2:
         return {}
     share = total[1] / (total[0] + total[1])
