@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import columns as C
+from tidemark.functions import noise
 from tidemark.operators import contexts as X
 from tidemark.operators import relational as R
 from tidemark.plans.panel import KEYS, PANEL_SQL, panel
@@ -166,7 +167,25 @@ def publication_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("day", end.cast("timestamp_ntz").alias("available_at"), C.next_instant_day(end, "Asia/Shanghai").alias("shanghai_day"), C.next_instant_day(end, "America/New_York").alias("york_day"), F.trunc("day", "MM").alias("month"), F.add_months("day", 1).alias("month_on"))
 
 
+def burst_perturbation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts by user and block of five days: a block's rows are perturbed if its draw is under the share; days since the last burst."""
+    d = daily(spark, sf_dir).withColumn("block", F.floor(F.datediff("day", F.lit("2024-01-01").cast("date")) / 5))
+    d = d.withColumn("u", noise.uniform((F.col("user_id") * 1000 + F.col("block")).cast("long"))).withColumn("burst", F.col("u") < 0.3)
+    last = F.last(F.when(F.col("burst"), F.col("day")), ignorenulls=True).over(Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
+    return d.select("user_id", "day", F.round("u", 9).alias("draw"), "burst", F.datediff("day", last).alias("since"))
+
+
 REGISTERED = {
+    "burst_perturbation": (
+        burst_perturbation,
+        f"""
+WITH {DAILY}, k AS (SELECT user_id, day, user_id * 1000 + (day - DATE '2024-01-01') // 5 AS c FROM d),
+a AS (SELECT *, (CAST(c AS UHUGEINT) + 1) * 11400714819323198485::UHUGEINT % 18446744073709551616::UHUGEINT AS z FROM k),
+b AS (SELECT *, xor(z, z >> 30::UHUGEINT) * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT AS y FROM a),
+c2 AS (SELECT *, xor(y, y >> 27::UHUGEINT) * 10723151780598845931::UHUGEINT % 18446744073709551616::UHUGEINT AS x FROM b),
+u AS (SELECT user_id, day, CAST(xor(x, x >> 31::UHUGEINT) >> 11::UHUGEINT AS DOUBLE) / 9007199254740992 AS u FROM c2)
+SELECT user_id, day, round(u, 9) AS draw, u < 0.3 AS burst, day - max(CASE WHEN u < 0.3 THEN day END) OVER (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS since FROM u""",
+    ),
     "admission_barrier": (
         admission_barrier,
         """
@@ -185,7 +204,7 @@ SELECT state, count(*) AS events, round(sum(CASE WHEN state = 'usable' THEN v EN
         macro_vector,
         """
 WITH d AS (SELECT CAST(ts AS DATE) AS day, avg(value) FILTER (event_type = 'click') AS a, avg(value) FILTER (event_type = 'view') AS e FROM events WHERE NOT (event_type = 'view' AND event_id % 2 = 0) GROUP BY ALL)
-SELECT day, 18 AS width, round(ln(1 + a), 7) AS c0, round(ln(1 + e), 7) AS c4, 0.0::DOUBLE AS c5, 1.0::DOUBLE AS c6, 0.0::DOUBLE AS c11, round(ln(2.0), 7) AS c12, 0.0::DOUBLE AS c17 FROM d""",
+SELECT day, 18 AS width, coalesce(round(ln(1 + a), 7), 0) AS c0, coalesce(round(ln(1 + e), 7), 0) AS c4, 0.0::DOUBLE AS c5, CASE WHEN a IS NULL THEN 0.0::DOUBLE ELSE 1 END AS c6, 0.0::DOUBLE AS c11, CASE WHEN a IS NULL THEN 0 ELSE round(ln(2.0), 7) END AS c12, 0.0::DOUBLE AS c17 FROM d""",
     ),
     "information_view": (
         information_view,
