@@ -74,7 +74,7 @@ def online_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
             if before is not None:
                 machine.mature([before])
             used = machine.emit(2.0)
-            before = abs(r.value - 10.0)
+            before = abs(r.value - 50.0)
             out.append((r.event_type, r.day, round(used, 6)))
         return pd.DataFrame(out, columns=["event_type", "day", "radius"])
 
@@ -83,7 +83,7 @@ def online_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cusum_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate per type and day from the mean squared deviation of values."""
-    e = table(spark, sf_dir, "events").groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.round(F.avg(F.pow(F.col("value") - 10, 2)), 6).alias("square"))
+    e = table(spark, sf_dir, "events").groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.round(F.avg(F.pow(F.col("value") - 50, 2)), 6).alias("square"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         machine = S.Gate(0.1, 3.0, 0.9)
@@ -95,7 +95,7 @@ def cusum_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reliability_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moving averages of a daily signal at two decay rates, folded over each type's ordered days."""
-    d = _days(spark, sf_dir).withColumn("up", (F.col("value") > 10).cast("double"))
+    d = _days(spark, sf_dir).withColumn("up", (F.col("value") > 50).cast("double"))
     w = Window.partitionBy("event_type").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     fold = lambda rate: F.aggregate(F.collect_list("up").over(w), F.lit(0.5), lambda a, x: a * (1 - rate) + x * rate)
     return d.select("event_type", "day", F.round(fold(0.1), 9).alias("slow"), F.round(fold(0.5), 9).alias("fast"))
@@ -105,7 +105,7 @@ def hmm_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filtered probability of the high state and of a change, per type and day."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        m = S.Hmm(np.array([0.5, 0.5]), np.array([[0.9, 0.1], [0.1, 0.9]]), np.array([[9.0], [11.0]]), np.array([[1.5], [1.5]]))
+        m = S.Hmm(np.array([0.5, 0.5]), np.array([[0.9, 0.1], [0.1, 0.9]]), np.array([[46.0], [54.0]]), np.array([[6.0], [6.0]]))
         out = []
         for r in rows.itertuples(index=False):
             state, change = m.update(np.array([r.value]))
@@ -117,7 +117,7 @@ def hmm_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mature_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights over three constant forecasts, each day from the losses of the days before."""
-    experts = np.array([8.0, 10.0, 12.0])
+    experts = np.array([42.0, 50.0, 58.0])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         m, out = S.Mixture(3), []
@@ -139,7 +139,7 @@ def portfolio_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         for (user, day), part in rows.groupby(["user_id", "day"], sort=True):
             opens, closes = dict(zip(part.event_type, part.open)), dict(zip(part.event_type, part.close))
             r = book.session(opens, closes, {a: 20 * int(n) for a, n in zip(part.event_type, part.n)})
-            book.orders = {a: 10 if c < 10 else 0 for a, c in closes.items()}
+            book.orders = {a: 10 if c < 50 else 0 for a, c in closes.items()}
             out.append((int(user), day, round(r["value"], 6), round(r["traded"], 6), round(r["taxes"], 6), int(r["unfilled"])))
         return pd.DataFrame(out, columns=["user_id", "day", "value", "traded", "taxes", "unfilled"])
 
@@ -269,7 +269,7 @@ SELECT cut, event_type, count(*) AS versions, round(sum(value), 5) AS total, max
     "online_conformal": (
         online_conformal,
         f"""
-WITH RECURSIVE {DAYS}, o AS (SELECT event_type, day, abs(value - 10.0) AS error, row_number() OVER (PARTITION BY event_type ORDER BY day) AS p FROM d),
+WITH RECURSIVE {DAYS}, o AS (SELECT event_type, day, abs(value - 50.0) AS error, row_number() OVER (PARTITION BY event_type ORDER BY day) AS p FROM d),
 r AS (SELECT event_type, day, p, error, CAST(0.0 AS DOUBLE) AS c FROM o WHERE p = 1
   UNION ALL SELECT o.event_type, o.day, o.p, o.error, r.c + 0.5 * (CASE WHEN r.error > 2.0 + r.c THEN 1.0 ELSE 0.0 END - (1 - CAST(0.9 AS DOUBLE))) FROM r JOIN o ON o.event_type = r.event_type AND o.p = r.p + 1)
 SELECT event_type, day, round(2.0 + c, 6) AS radius FROM r""",
@@ -277,7 +277,7 @@ SELECT event_type, day, round(2.0 + c, 6) AS radius FROM r""",
     "cusum_gate": (
         cusum_gate,
         """
-WITH RECURSIVE d AS (SELECT event_type, CAST(ts AS DATE) AS day, round(avg(pow(value - 10, 2)), 6) AS s FROM events GROUP BY ALL),
+WITH RECURSIVE d AS (SELECT event_type, CAST(ts AS DATE) AS day, round(avg(pow(value - 50, 2)), 6) AS s FROM events GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) AS p FROM d),
 r AS (SELECT event_type, day, p, s AS q, CAST(0.0 AS DOUBLE) AS c FROM o WHERE p = 1
   UNION ALL SELECT o.event_type, o.day, o.p, CAST(0.9 AS DOUBLE) * r.q + (1 - CAST(0.9 AS DOUBLE)) * o.s, least(greatest(r.c + o.s / r.q - 1 - CAST(0.1 AS DOUBLE), 0), 3) FROM r JOIN o ON o.event_type = r.event_type AND o.p = r.p + 1)
@@ -286,7 +286,7 @@ SELECT event_type, day, round(c / 3, 6) AS gate, round(c, 6) AS cusum FROM r""",
     "reliability_signal": (
         reliability_signal,
         f"""
-WITH RECURSIVE {DAYS}, o AS (SELECT event_type, day, CASE WHEN value > 10 THEN 1.0::DOUBLE ELSE 0 END AS up, row_number() OVER (PARTITION BY event_type ORDER BY day) AS p FROM d),
+WITH RECURSIVE {DAYS}, o AS (SELECT event_type, day, CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE 0 END AS up, row_number() OVER (PARTITION BY event_type ORDER BY day) AS p FROM d),
 r AS (SELECT event_type, day, p, 0.5 * 0.9::DOUBLE + up * 0.1::DOUBLE AS slow, 0.25 + up * 0.5::DOUBLE AS fast FROM o WHERE p = 1
   UNION ALL SELECT o.event_type, o.day, o.p, r.slow * 0.9::DOUBLE + o.up * 0.1::DOUBLE, r.fast * 0.5::DOUBLE + o.up * 0.5::DOUBLE FROM r JOIN o ON o.event_type = r.event_type AND o.p = r.p + 1)
 SELECT event_type, day, round(slow, 9) AS slow, round(fast, 9) AS fast FROM r""",
