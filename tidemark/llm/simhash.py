@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = written(dealt.join(sizes, "key"), "shards")
     first = dealt.where(F.col("n") <= cap).select("key", F.lit(0).cast("long").alias("sub"), "uid", "fp")
     again = dealt.where(F.col("n") > cap).select("key", F.explode(F.array_remove("bands", F.col("key"))).alias("sub"), "uid", "fp")
-    sets = signs.select("uid", "shingles").join(dealt.select("uid").distinct(), "uid", "left_semi").groupBy("uid").agg(F.min("shingles").alias("shingles"))
+    sets = signs.groupBy("uid").agg(F.min("shingles").alias("shingles")).join(dealt.select("uid").distinct(), "uid", "left_semi")
     shards = first.unionByName(again).join(sets, "uid").repartition("key", "sub").sortWithinPartitions("key", "sub", "uid")
     links = shards.select("key", "sub", "uid", "fp", "shingles").mapInArrow(search, "a long, b long")
     roots = written(components(links), "roots")
