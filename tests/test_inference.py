@@ -40,3 +40,16 @@ def test_clusters(spark):
     assert {r["region"] for r in K.regions(df, "k", "i", "v", 4).collect()} == {0, 1, 2, 3}
     with pytest.raises(Refused):
         K.regions(df, "k", "i", "v", 4, most=10)
+
+
+def test_noise_depends_on_the_counter_alone(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import noise
+
+    assert noise.splitmix(np.array([0], np.uint64)).tolist() == [0xE220A8397B1DCDAF]  # the generator's first output from seed zero
+    df = spark.range(4000).select("id", noise.uniform(F.col("id")).alias("u"), noise.normal(F.col("id")).alias("z"))
+    again = spark.range(4000).repartition(7).select("id", noise.uniform(F.col("id")).alias("u"), noise.normal(F.col("id")).alias("z"))
+    assert df.exceptAll(again).count() == 0
+    r = df.agg(F.avg("u"), F.min("u"), F.max("u"), F.avg("z"), F.stddev("z")).first()
+    assert abs(r[0] - 0.5) < 0.02 and 0 <= r[1] and r[2] < 1 and abs(r[3]) < 0.05 and abs(r[4] - 1) < 0.05
