@@ -20,7 +20,7 @@ CACHE, UNIT_CHARS = 1_000_000, 64
 _PLAIN = r"[!-~\u00a1-\u012f\u0131-\u02ff]+"
 _SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space but blank and line feed, by any definition in use.
-_EXOTIC = re.compile(r"[^\S \n]|[\x1c-\x1f\x85\u180e\u200b\ufeff]")
+_EXOTIC = (*(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"), "\u180e", "\u200b", "\ufeff")
 _ENDS = ".,"
 
 _encoders: dict[tuple, UnitEncoder] = {}
@@ -59,7 +59,7 @@ class UnitEncoder:
             if "\u0130" not in text and "\u03a3" not in text:  # the others' lower case depends on nothing else
                 text = text.lower()
             return text.replace("\n", " ").split(" ")
-        return None if _EXOTIC.search(text) else _SPACED.findall(text)
+        return None if any(c in text for c in _EXOTIC) else _SPACED.findall(text)
 
     def _learn(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
         joined, alone = [], []
