@@ -55,6 +55,31 @@ def test_near_dedup_stage(spark):
     assert again.where("id = keep_id").count() <= len(want) * 1.1 + 1
 
 
+def templates(count, words, own, changed, seed):
+    """count texts of one template, unlike each other, and of each a copy with some of its own words changed."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(8))
+    shared, rows = [word() for _ in range(words - own)], []
+    for _ in range(count):
+        text = shared + [word() for _ in range(own)]
+        copy = text[:-changed] + [word() for _ in range(changed)]
+        rows += [(len(rows), " ".join(text), "en", "s", 0), (len(rows) + 1, " ".join(copy), "en", "s", 0)]
+    return rows
+
+
+def kept(spark, rows, cap):
+    found = simhash.near_duplicates(documents(spark, rows).repartition(3), cap=cap)
+    return sorted((r["id"] for r in found.where("id = keep_id").collect()), key=repr)
+
+
+def test_oversized_shards_are_compared_whole(spark):
+    rows = templates(60, 100, 30, 2, 5)
+    want = survivors(rows)
+    assert len(want) == 60
+    assert kept(spark, rows, 10**6) == want
+    assert kept(spark, rows, 6) == want
+
+
 def test_near_dedup_odd_rows(spark):
     for df in (documents(spark), clashing(documents(spark))):
         found = simhash.deduplicate(df)

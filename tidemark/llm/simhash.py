@@ -19,7 +19,8 @@ minimum (component_id is null if a component has no other). Repeated rows are ro
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations, groupby, islice
+from itertools import combinations, groupby
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -230,6 +231,24 @@ def alike(x: bytes, y: bytes, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
+def _block_pairs(dealt: DataFrame, cap: int, similarity: float) -> DataFrame:
+    """(key, low, high, side, uid, fp): shards of about `cap` texts in which any two texts of a key whose set sizes allow the similarity meet.
+
+    A key's texts are dealt by size into buckets so wide that similar texts are in the same or in neighbouring
+    ones, and each bucket into blocks by hash; a shard is a block, or two blocks whose texts are compared across only.
+    """
+    dealt = dealt.withColumn("bucket", F.floor(F.log(F.col("size")) / log(1.01 / similarity)))
+    counts = dealt.groupBy("key", "bucket").agg(F.ceil(F.count(F.lit(1)) / max(1, cap // 2)).cast("int").alias("m"))
+    blocks = counts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "m"))).alias("blocks"))
+    code = lambda bucket, block: F.shiftleft(bucket, 32) + block
+    there = lambda step: F.transform(F.array_repeat(F.col("bucket") + step, F.coalesce(F.col("blocks")[F.col("bucket") + step], F.lit(0))), code)
+    rows = hot_join(dealt, written(blocks, "blocks"), "key")
+    rows = rows.withColumn("own", code(F.col("bucket"), F.pmod(F.xxhash64("uid"), F.col("blocks")[F.col("bucket")])))
+    rows = rows.select("key", "uid", "fp", "own", F.explode(F.concat(*[there(step) for step in (-1, 0, 1)])).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side.alias("side"), "uid", "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, cap: int = VERIFIED_CAP) -> DataFrame:
     """(id, h, keep_id, keep_h) of every distinct (doc_id, text hash): the row of its group that stays, the smallest (null last).
 
@@ -238,8 +257,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     such pairs (they differ in about ten bits at 0.8), so that shards are dealt by bands of two
     minimum hashes of the shingles, of which two texts at 0.8 share one of five with probability 0.994;
     within a shard the BK-tree proposes fingerprints within VERIFIED_RADIUS bits, nearest first.
-    A shard of more than `cap` texts is dealt again by pairs of bands; beyond that it is read in
-    pieces of `cap` texts, each beginning with the shard's first text.
+    A shard of more than `cap` texts is dealt again by pairs of bands; one that is larger even then
+    is compared whole, as pairs of blocks of its texts.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,34 +267,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for text in piece.column("text").to_pylist():
                 hashes = shingle_hashes(text, shingle)
                 uid = signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
-                rows.append((uid, signed(fingerprint(hashes)), _band_keys(hashes) if len(hashes) else [], np.unique(hashes.astype(np.uint32)).astype("<u4").tobytes()))
+                distinct = np.unique(hashes.astype(np.uint32)).astype("<u4")
+                rows.append((uid, signed(fingerprint(hashes)), _band_keys(hashes) if len(hashes) else [], len(distinct), distinct.tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [piece.column("id"), piece.column("h"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())))], names=["id", "h", "uid", "fp", "bands", "shingles"]
+                [piece.column("id"), piece.column("h"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())))], names=["id", "h", "uid", "fp", "bands", "size", "shingles"]
             )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def same(x: tuple[int, bytes], y: tuple[int, bytes]) -> bool:
+            return (x[0] != y[0] or not x[0]) and alike(x[1], y[1], similarity)
+
         def links() -> Iterator[tuple[int, int]]:
-            for run in grouped(batches, ["key", "sub"]):
-                rows = [(r["uid"], r["fp"] & (1 << 64) - 1, r["shingles"]) for r in islice(run, cap)]
-                first = rows[:1]
-                while rows:
-                    yield from shard_links(iter(rows), VERIFIED_RADIUS, lambda x, y: alike(x, y, similarity))
-                    more = [(r["uid"], r["fp"] & (1 << 64) - 1, r["shingles"]) for r in islice(run, cap)]
-                    rows = more and first + more
+            for run in grouped(batches, ["key", "low", "high"]):
+                yield from shard_links(((r["uid"], r["fp"] & (1 << 64) - 1, (r["side"], r["shingles"])) for r in run), VERIFIED_RADIUS, same)
 
         return _emit(links())
 
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    signs = written(keyed.mapInArrow(sign, "id long, h long, uid long, fp long, bands array<long>, shingles binary"), "signatures")
-    texts = signs.groupBy("uid").agg(F.min("fp").alias("fp"), F.min("bands").alias("bands"))
-    dealt = texts.select("uid", "fp", "bands", F.explode("bands").alias("key"))
+    signs = written(keyed.mapInArrow(sign, "id long, h long, uid long, fp long, bands array<long>, size int, shingles binary"), "signatures")
+    texts = signs.groupBy("uid").agg(F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min("size").alias("size"))
+    dealt = texts.select("uid", "fp", "bands", "size", F.explode("bands").alias("key"))
     sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     dealt = written(dealt.join(sizes, "key"), "shards")
-    first = dealt.where(F.col("n") <= cap).select("key", F.lit(0).cast("long").alias("sub"), "uid", "fp")
-    again = dealt.where(F.col("n") > cap).select("key", F.explode(F.array_remove("bands", F.col("key"))).alias("sub"), "uid", "fp")
+    whole = lambda rows: rows.select("key", *[F.lit(0).cast("long").alias(c) for c in ("low", "high")], F.lit(0).alias("side"), "uid", "fp")
+    again = dealt.where(F.col("n") > cap).select("uid", "fp", "size", "key", F.explode(F.array_remove("bands", F.col("key"))).alias("band"))
+    again = again.select("uid", "fp", "size", F.xxhash64("key", "band").alias("key"))
+    again = written(again.join(again.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"), "again")
+    shards = whole(dealt.where(F.col("n") <= cap)).unionByName(whole(again.where(F.col("n") <= cap))).unionByName(_block_pairs(again.where(F.col("n") > cap), cap, similarity))
     sets = signs.groupBy("uid").agg(F.min("shingles").alias("shingles")).join(dealt.select("uid").distinct(), "uid", "left_semi")
-    shards = first.unionByName(again).join(sets, "uid").repartition("key", "sub").sortWithinPartitions("key", "sub", "uid")
-    links = shards.select("key", "sub", "uid", "fp", "shingles").mapInArrow(search, "a long, b long")
+    shards = shards.join(sets, "uid").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "uid")
+    links = shards.select("key", "low", "high", "side", "uid", "fp", "shingles").mapInArrow(search, "a long, b long")
     roots = written(components(links), "roots")
     place = F.struct(F.col("id").isNull().alias("null"), "id", "h")
     # texts to their groups, then groups to the row that stays; both ways a large group's rows are spread
