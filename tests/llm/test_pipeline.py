@@ -80,6 +80,11 @@ def test_oversized_shards_are_compared_whole(spark):
     assert kept(spark, rows, 6) == want
 
 
+def test_size_of_a_shard_decides_no_link(spark):
+    rows = templates(400, 100, 40, 10, 1)  # copies at 0.83
+    assert kept(spark, rows, 8) == kept(spark, rows, 10**6)
+
+
 def test_near_dedup_odd_rows(spark):
     for df in (documents(spark), clashing(documents(spark))):
         found = simhash.deduplicate(df)

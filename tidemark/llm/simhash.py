@@ -257,8 +257,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     such pairs (they differ in about ten bits at 0.8), so that shards are dealt by bands of two
     minimum hashes of the shingles, of which two texts at 0.8 share one of five with probability 0.994;
     within a shard the BK-tree proposes fingerprints within VERIFIED_RADIUS bits, nearest first.
-    A shard of more than `cap` texts is dealt again by pairs of bands; one that is larger even then
-    is compared whole, as pairs of blocks of its texts.
+    A shard of more than `cap` texts is compared whole, as pairs of blocks of its texts, so that its
+    size decides no link.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,14 +286,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     signs = written(keyed.mapInArrow(sign, "id long, h long, uid long, fp long, bands array<long>, size int, shingles binary"), "signatures")
     texts = signs.groupBy("uid").agg(F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min("size").alias("size"))
-    dealt = texts.select("uid", "fp", "bands", "size", F.explode("bands").alias("key"))
+    dealt = texts.select("uid", "fp", "size", F.explode("bands").alias("key"))
     sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     dealt = written(dealt.join(sizes, "key"), "shards")
-    whole = lambda rows: rows.select("key", *[F.lit(0).cast("long").alias(c) for c in ("low", "high")], F.lit(0).alias("side"), "uid", "fp")
-    again = dealt.where(F.col("n") > cap).select("uid", "fp", "size", "key", F.explode(F.array_remove("bands", F.col("key"))).alias("band"))
-    again = again.select("uid", "fp", "size", F.xxhash64("key", "band").alias("key"))
-    again = written(again.join(again.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"), "again")
-    shards = whole(dealt.where(F.col("n") <= cap)).unionByName(whole(again.where(F.col("n") <= cap))).unionByName(_block_pairs(again.where(F.col("n") > cap), cap, similarity))
+    whole = dealt.where(F.col("n") <= cap).select("key", *[F.lit(0).cast("long").alias(c) for c in ("low", "high")], F.lit(0).alias("side"), "uid", "fp")
+    shards = whole.unionByName(_block_pairs(dealt.where(F.col("n") > cap), cap, similarity))
     sets = signs.groupBy("uid").agg(F.min("shingles").alias("shingles")).join(dealt.select("uid").distinct(), "uid", "left_semi")
     shards = shards.join(sets, "uid").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "uid")
     links = shards.select("key", "low", "high", "side", "uid", "fp", "shingles").mapInArrow(search, "a long, b long")
