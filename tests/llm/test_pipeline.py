@@ -85,6 +85,17 @@ def test_size_of_a_shard_decides_no_link(spark):
     assert kept(spark, rows, 8) == kept(spark, rows, 10**6)
 
 
+def test_repeats_within_a_text_decide_no_link(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(8))
+    rows = []
+    for _ in range(20):
+        text, sentence = " ".join(word() for _ in range(200)), " ".join(word() for _ in range(20))
+        for times in (1, 50):
+            rows.append((len(rows), " ".join([text] + [sentence] * times), "en", "s", 0))
+    assert kept(spark, rows, 2000) == survivors(rows)
+
+
 def test_near_dedup_odd_rows(spark):
     for df in (documents(spark), clashing(documents(spark))):
         found = simhash.deduplicate(df)

@@ -256,7 +256,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exactly on each candidate pair (on 32-bit hashes of the shingles). Fingerprints alone can't find
     such pairs (they differ in about ten bits at 0.8), so that shards are dealt by bands of two
     minimum hashes of the shingles, of which two texts at 0.8 share one of five with probability 0.994;
-    within a shard the BK-tree proposes fingerprints within VERIFIED_RADIUS bits, nearest first.
+    within a shard the BK-tree proposes fingerprints within VERIFIED_RADIUS bits, nearest first. The
+    fingerprint is of the distinct shingles here, since the similarity doesn't count repeats either.
     A shard of more than `cap` texts is compared whole, as pairs of blocks of its texts, so that its
     size decides no link.
     """
@@ -267,8 +268,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for text in piece.column("text").to_pylist():
                 hashes = shingle_hashes(text, shingle)
                 uid = signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
-                distinct = np.unique(hashes.astype(np.uint32)).astype("<u4")
-                rows.append((uid, signed(fingerprint(hashes)), _band_keys(hashes) if len(hashes) else [], len(distinct), distinct.tobytes()))
+                once = np.unique(hashes)
+                distinct = np.unique(once.astype(np.uint32)).astype("<u4")
+                rows.append((uid, signed(fingerprint(once)), _band_keys(once) if len(once) else [], len(distinct), distinct.tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [piece.column("id"), piece.column("h"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())))], names=["id", "h", "uid", "fp", "bands", "size", "shingles"]
             )
