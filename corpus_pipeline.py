@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the chunks of lines that stand earlier in another or in themselves."""
-    return _resized(line_dedup.dedup_lines(docs).select(*docs.columns))
+    return _resized(line_dedup.dedup_lines(docs, runs=True).select(*docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,6 +98,31 @@ def test_passages_go_and_clean_documents_stay(spark):
         assert any(s in r["text"] for r in found.values())
 
 
+def planted(sizes, words, seed):
+    """Documents of unlike lines around a passage that stands in three of them, and what should be left of each; passages of so many lines."""
+    rng = random.Random(seed)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    rows, left = [], {}
+    for lines in sizes:
+        passage = [line(words // lines + 2) for _ in range(lines)]
+        for copy in range(3):
+            own = [line(8) for _ in range(6)]
+            at = rng.randint(0, 6)
+            left[len(rows)] = "\n".join(own if copy else own[:at] + passage + own[at:])
+            rows.append((len(rows), "\n".join(own[:at] + passage + own[at:]), "en", "s", 0))
+    return rows, left
+
+
+def test_short_passages_go_wherever_they_stand(spark, sf_dir):
+    import corpus_pipeline
+
+    rows, left = planted([2, 3, 4] * 12, 50, 4)
+    found = corpus_pipeline.drop_lines(spark, documents(spark, rows), sf_dir).collect()
+    assert {r["doc_id"]: r["text"] for r in found} == left
+    found = L.dedup_lines(documents(spark, rows), sent=0, runs=True).collect()
+    assert {r["doc_id"]: r["text"] for r in found} == left
+
+
 def test_documents(spark, sf_dir):
     check(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -4,6 +4,9 @@ A text's lines are hashed, and a rolling hash over the last one or two line hash
 is a chunking of its own) chooses the lines that end a chunk, so that an insertion moves no boundary
 beyond the chunks it touches. A line of LONG words or more is a chunk by itself. Considered are
 chunks of two lines or more, also two neighbouring chunks taken together, and the long lines.
+With `runs`, as in the query and the pipeline, considered are also the runs of lines from each line
+to where they reach LONG words, and on to the last line before the next line's run does; whatever
+passage of LONG words or more is repeated is covered by such runs of its own, wherever boundaries are.
 
 Chunks whose hash occurs once anywhere are done with after one aggregation of bare hashes. The texts
 of the others are compared byte by byte with the first occurrence (the smallest doc_id, then text
@@ -40,21 +43,44 @@ def _chunks(ends: Column) -> Column:
     return F.concat(single, F.slice(double, 2, F.greatest(F.size(ends) - 1, F.lit(0))))
 
 
-def chunked(docs: DataFrame, texts: bool = False) -> DataFrame:
+def _runs(marks: Column, stops: Column) -> Column:
+    """(start, stop) of the shortest runs of LONG words: marks are the lines with words, stops the place among them where the run from each ends, their number if nowhere."""
+    last = F.size(marks)
+    ends = lambda s, k: F.filter(F.sequence(s, F.greatest(s, F.coalesce(F.get(stops, k + 1), last) - 1)), lambda m: m < last)
+    return F.flatten(F.transform(stops, lambda s, k: F.transform(ends(s, k), lambda m: F.struct(F.get(marks, k).alias("start"), F.get(marks, m).alias("stop")))))
+
+
+def _stops(words: Column) -> Column:
+    """Where the run from each place reaches LONG words; words are 1 to LONG at each place."""
+    step = 1000  # above the words of a run, its length
+    reached = lambda total: F.pmod(total, F.lit(step)) >= LONG
+    end = lambda k: lambda total: F.when(reached(total), k + F.floor(total / step).cast("int") - 1).otherwise(F.size(words))
+    return F.transform(words, lambda _, k: F.aggregate(F.slice(words, k + 1, LONG), F.lit(0), lambda total, x: F.when(reached(total), total).otherwise(total + step + x), end(k)))
+
+
+def chunked(docs: DataFrame, texts: bool = False, runs: bool = False) -> DataFrame:
     """docs with id, text as (id, h, start, stop, chunk), a row for each chunk considered, and its text (bytes) if asked for; h is the text's hash, chunk the chunk's.
 
     Whatever a chunk's row needs is put together before the arrays are exploded: a row that took the lines along would copy the whole text for every chunk.
     """
     rows = docs.where("text is not null").select("id", F.xxhash64("text").alias("h"), F.split("text", "\n", -1).alias("lines"))
     rows = rows.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    rows = rows.withColumn("long", F.transform("lines", lambda x: F.length(x) - F.length(F.translate(x, " ", "")) + 1 >= LONG))
+    words = lambda x: F.length(x) - F.length(F.translate(x, " ", "")) + 1
+    rows = rows.withColumn("long", F.transform("lines", lambda x: words(x) >= LONG))
     found = []
     for window in WINDOWS:
         rolled = lambda i, w=window: F.xxhash64(F.lit(w), *[F.get("hashes", i - k) for k in reversed(range(w))])
         ends = F.filter(_numbered(F.col("hashes")), lambda i: (F.pmod(rolled(i), F.lit(2)) == 0) | F.get("long", i) | F.coalesce(F.get("long", i + 1), F.lit(True)))
         rows = rows.withColumn(f"ends{window}", ends)
         found.append(f"ends{window}")
-    wanted = F.array_distinct(F.concat(*[_chunks(F.col(c)) for c in found]))
+    wanted = [_chunks(F.col(c)) for c in found]
+    if runs:
+        rows = rows.withColumn("words", F.transform("lines", lambda x: F.when(F.trim(x) == "", 0).otherwise(F.least(words(x), F.lit(LONG)))))
+        rows = rows.withColumn("marks", F.filter(_numbered(F.col("words")), lambda i: F.get("words", i) > 0))
+        rows = rows.withColumn("words", F.filter("words", lambda n: n > 0))
+        rows = rows.withColumn("stops", _stops(F.col("words")))
+        wanted.append(_runs(F.col("marks"), F.col("stops")))
+    wanted = F.array_distinct(F.concat(*wanted))
     rows = rows.select("id", "h", "lines", "hashes", F.filter(wanted, lambda c: (c["stop"] > c["start"]) | F.get("long", c["start"])).alias("chunks"))
     part = lambda array, c: F.slice(array, c["start"] + 1, c["stop"] - c["start"] + 1)
     fields = lambda c: [c["start"].alias("start"), c["stop"].alias("stop"), F.xxhash64(part("hashes", c)).alias("chunk"), *([F.array_join(part("lines", c), "\n").alias("bytes")] if texts else [])]
@@ -74,11 +100,11 @@ def _fetched(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.select("id", "h", F.explode_outer("chunks").alias("c")).where("c is not null").select("id", "h", "c.*")
 
 
-def repeated_chunks(docs: DataFrame, sent: int = SENT) -> DataFrame:
+def repeated_chunks(docs: DataFrame, sent: int = SENT, runs: bool = False) -> DataFrame:
     """(id, h, start, stop) of the chunks to remove: equal to an earlier one, byte by byte."""
-    common = written(chunked(docs).groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk"), "chunks")
+    common = written(chunked(docs, runs=runs).groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk"), "chunks")
     few = common.count() <= sent
-    seen = chunked(docs, texts=True).join(F.broadcast(common), "chunk", "left_semi") if few else _fetched(docs, chunked(docs).join(common, "chunk", "left_semi"))
+    seen = chunked(docs, texts=True, runs=runs).join(F.broadcast(common), "chunk", "left_semi") if few else _fetched(docs, chunked(docs, runs=runs).join(common, "chunk", "left_semi"))
     seen = written(seen.where(F.length("bytes") >= LEAST_CHARS), "repeated")
     place = F.struct("id", "h", "start")
     first = seen.groupBy("chunk").agg(F.min(place).alias("first"), F.min_by("bytes", place).alias("kept"))
@@ -86,10 +112,10 @@ def repeated_chunks(docs: DataFrame, sent: int = SENT) -> DataFrame:
     return same.select("id", "h", "start", "stop")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent: int = SENT) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent: int = SENT, runs: bool = False) -> DataFrame:
     """docs with the removed lines gone from the text column, and the columns lines_before and lines_removed (LONG) beside its own."""
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    gone = repeated_chunks(keyed, sent).groupBy("id", "h").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    gone = repeated_chunks(keyed, sent, runs).groupBy("id", "h").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     gone = gone.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["start"], r["stop"])))).alias("_gone"))
     # the text goes through the join once, within its row
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"))
@@ -107,7 +133,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), runs=True)
 
 
 QUERIES = {"op6_line_dedup": op6_line_dedup}
