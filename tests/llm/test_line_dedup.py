@@ -123,6 +123,16 @@ def test_short_passages_go_wherever_they_stand(spark, sf_dir):
     assert {r["doc_id"]: r["text"] for r in found} == left
 
 
+def test_long_blocks_of_short_lines_go(spark, sf_dir):
+    import corpus_pipeline
+
+    menu = [f"Menu {c}." for c in "abcdefghijklmnopqrstuvwxyzABCDEFGH"]  # 68 words, 7 bytes a line
+    block = lambda i, lines: "\n".join([f"before {i} it", *lines, f"after {i} it"])
+    rows = [(i, block(i, lines), "en", "s", 0) for i, lines in enumerate([["Wort eins."] * 58, ["Wort eins."] * 35, menu, menu, menu])]
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, documents(spark, rows), sf_dir).collect()}
+    assert left == {0: block(0, ["Wort eins."]), 1: block(1, []), 2: block(2, menu), 3: block(3, []), 4: block(4, [])}
+
+
 def test_documents(spark, sf_dir):
     check(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
