@@ -2,6 +2,7 @@ import random
 import struct
 
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import clashing, documents
 from tidemark.llm import line_dedup as L
@@ -114,7 +115,7 @@ def planted(sizes, words, seed):
 
 
 def test_short_passages_go_wherever_they_stand(spark, sf_dir):
-    import corpus_pipeline
+    from tidemark.llm import pipeline as corpus_pipeline
 
     rows, left = planted([2, 3, 4] * 12, 50, 4)
     found = corpus_pipeline.drop_lines(spark, documents(spark, rows), sf_dir).collect()
@@ -124,7 +125,7 @@ def test_short_passages_go_wherever_they_stand(spark, sf_dir):
 
 
 def test_long_blocks_of_short_lines_go(spark, sf_dir):
-    import corpus_pipeline
+    from tidemark.llm import pipeline as corpus_pipeline
 
     menu = [f"Menu {c}." for c in "abcdefghijklmnopqrstuvwxyzABCDEFGH"]  # 68 words, 7 bytes a line
     block = lambda i, lines: "\n".join([f"before {i} it", *lines, f"after {i} it"])
@@ -140,3 +141,21 @@ def test_documents(spark, sf_dir):
 def test_plan_is_native(spark, sf_dir):
     plan = L.op6_line_dedup(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_lines_that_share_a_hash_stay(spark):
+    rows, shared, para = passages()
+    weak = lambda x: F.when(F.length(x) > 200, F.xxhash64(x)).otherwise(F.xxhash64(F.substring(x, 1, 1)))
+    lines = {s for _, text, *_ in rows for s in text.split("\n")}
+    found = L.dedup_lines(documents(spark, rows), runs=True, hashed=weak).collect()
+    assert lines == {s for r in found for s in r["text"].split("\n")}
+    assert sum(para in r["text"] for r in found) == 1
+    assert all(r["text"] == rows[r["doc_id"]][1] for r in found if r["doc_id"] % 3 == 2)
+
+
+def test_columns_named_like_the_counts(spark):
+    df = documents(spark).withColumns({"lines_before": F.lit("x"), "lines_removed": F.lit("y")})
+    found = L.dedup_lines(df)
+    assert [c for c, t in found.dtypes if c.startswith("lines_") and t == "bigint"] == ["lines_before", "lines_removed"]
+    assert L.dedup_lines(df, counts=False).columns == df.columns
+    assert {r["lines_before"] for r in L.dedup_lines(df, counts=False).collect()} == {"x"}
