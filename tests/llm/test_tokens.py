@@ -9,18 +9,17 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import clashing, documents
-from tidemark.llm import packing, token_blocks
+from tidemark.llm import encoding, packing, token_blocks
 from tidemark.llm.encoding import encoder, tokenizer_path
 
 WORD, BYTE = tokenizer_path("word_bpe_49k.json"), tokenizer_path("byte_bpe_50k.json")
 TEXTS = ["é́ ſ K <|endoftext|>  x\r\n\x1c ▁ 漢字 😀", "  a  b \n\n c  ", " \n ", "ab c ", "don't, we'll  O'Neil's\n\nx ", " ́x a ́̕ ΑΣ Σ. İ ŉ", "x" * 300 + " y " + "z" * 100, None, "", "a \n b", "a\tb  c", "ab  \n"]
+TEXTS += ["a<|endoftext|>b <|endoftext|>", "<|startoftext|> x<|STARTOFTEXT|>", "<|endoftext|><|endoftext|>", "<|endoftext |> <|endoftext", "a \n\n  b  ", "a  b\n c \nd", "a\0b  c", "  a", "\n\n\n", "a. b.. c., d .", "a  "]
 
 
 @cache
 def tokenizer(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def ids_of(path, text, end):
@@ -34,7 +33,16 @@ def test_units_equal_whole_texts(spark, sf_dir, path, drops):
     assert found == [array("I", e.ids).tobytes() for e in tokenizer(path).encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-@pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5000])
+def test_generations_of_units(monkeypatch):
+    monkeypatch.setattr(encoding, "CACHE", 40)
+    own, rng = encoding.UnitEncoder(BYTE, False), random.Random(5)
+    for _ in range(20):
+        texts = [" ".join(rng.choice(["a", "bee", "sea.", "dee,", f"w{rng.randint(0, 999)}."]) for _ in range(30)) for _ in range(8)]
+        assert list(own.batch(texts)) == [array("I", tokenizer(BYTE).encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+        assert len(own.young) < 20 + 30 * 8 and len(own.elder) < 20 + 30 * 8
+
+
+@pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5000, 300_000])
 @pytest.mark.parametrize("high", [1, 2, 50_000, 1 << 32])
 def test_blocks_round_trip(n, high):
     rng = np.random.default_rng(n)
@@ -80,6 +88,17 @@ def test_tokens_documents(spark, sf_dir):
     check_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(5))
 
 
+def test_parts_are_in_order(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([7, 7, 7, rng.randint(-50, 50)]), rng.randint(-(1 << 63), (1 << 63) - 1)) for _ in range(3000)]
+    bounds = token_blocks.part_bounds(spark.createDataFrame(rows, "key long, h long"), 9)
+    parts = token_blocks.part_of(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), bounds).tolist()
+    inorder = [p for _, p in sorted(zip(rows, parts))]
+    assert inorder == sorted(inorder)
+    assert len(set(parts)) == 9 and max(parts.count(p) for p in set(parts)) < 700
+    assert token_blocks.part_bounds(spark.createDataFrame([], "key long"), 9).tolist() == []
+
+
 def check_packing(df, capacity=1024, pool=4096):
     rows = packing.pack(df, BYTE, capacity=capacity, pool=pool).collect()
     docs, sequences = {}, {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 #: Rows and text bytes that a Python worker turns into Python objects at a time.
 SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
+#: Bytes after which Spark ends an Arrow batch.
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -59,14 +63,33 @@ def hot_join(rows: DataFrame, side: DataFrame, key: str, most: int = 4096, least
     return rows.join(F.broadcast(sides), key).unionByName(rows.join(F.broadcast(sides.select(key)), key, "left_anti").join(side, key))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str | None = "text") -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most SLICE_ROWS rows and, but for single rows, about SLICE_BYTES of text."""
+def bounded(df: DataFrame) -> DataFrame:
+    """df, the session's Arrow batches being bounded by bytes beside rows from now on."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
+def mapped(df: DataFrame, apply: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow with bounded batches."""
+    return bounded(df).mapInArrow(apply, schema)
+
+
+def _parts(rows: int, nbytes: int, most: int = SLICE_ROWS) -> Iterator[tuple[int, int]]:
+    """(first, number) of the rows of each piece."""
+    step = max(1, min(most, SLICE_BYTES * rows // max(1, nbytes)))
+    return ((at, step) for at in range(0, rows, step))
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str | None = "text", most: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `most` rows and, but for single rows, about SLICE_BYTES of text."""
     for batch in batches:
-        rows = SLICE_ROWS
-        if text is not None and batch.num_rows:
-            rows = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(1, batch.column(text).nbytes)))
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        for at, n in _parts(batch.num_rows, 0 if text is None else batch.column(text).nbytes, most):
+            yield batch.slice(at, n)
+
+
+def in_slices(array: pa.Array, apply: Callable[[list], pa.Array], kind: pa.DataType) -> pa.Array:
+    """apply over the array's values, by the pieces that `slices` makes of batches."""
+    return pa.concat_arrays([pa.array([], kind), *(apply(array.slice(at, n).to_pylist()) for at, n in _parts(len(array), array.nbytes))])
 
 
 def signed(value: int) -> int:

@@ -1,8 +1,11 @@
 """Whole texts to token ids with the tokenizers library, units at which its pre-tokenizer always splits being encoded once.
 
 Both supported pre-tokenizers begin a new pre-token wherever white space follows another character,
-so that the ids of a text are the ids of its units one after the other. A worker keeps the ids of
-the units it has met, up to CACHE of them.
+so that the ids of a text are the ids of its units one after the other. The distinct units of a batch
+of texts are looked up among those a worker has met, which it keeps in two generations of up to
+CACHE / 2; a full one takes the place of the elder, whose units stay as far as they are met again.
+A text that holds the string of a special token is encoded whole, so that all ids are those of the
+library's plain call.
 """
 
 from __future__ import annotations
@@ -11,8 +14,11 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Units kept by a worker; a unit longer than UNIT_CHARS is encoded each time.
 CACHE, UNIT_CHARS = 1_000_000, 64
@@ -22,6 +28,11 @@ _SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space but blank and line feed, by any definition in use.
 _EXOTIC = (*(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"), "\u180e", "\u200b", "\ufeff")
 _ENDS = ".,"
+#: What ends a unit in a text that is to be cut, and white space whose pre-tokens a cut before each character would tear.
+_CUT = "\0"
+_RUNS = tuple(map("".join, product(" \n", repeat=3)))
+#: Rows of the pieces in which texts are best encoded: the more, the fewer units are new to a piece.
+ROWS = 4096
 
 _encoders: dict[tuple, UnitEncoder] = {}
 
@@ -29,19 +40,22 @@ _encoders: dict[tuple, UnitEncoder] = {}
 class UnitEncoder:
     """path: a tokenizer's JSON file. drops_space: its pre-tokenizer drops white space; else a unit keeps what stands before it.
 
-    The strings of special tokens in a text are ordinary text unless specials is set.
+    The strings of special tokens in a text are these tokens unless specials is unset, which makes them ordinary text.
     """
 
-    def __init__(self, path: str, drops_space: bool, specials: bool = False) -> None:
+    def __init__(self, path: str, drops_space: bool, specials: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not specials
         self.drops_space = drops_space
-        self.cache = _Ids(self)
+        self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if specials else []
+        self.young: dict[str, bytes] = {"": b""}
+        self.elder: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
-        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character for each byte
+        self.highest = max(vocabulary.values())
+        self.bytes_of = np.zeros(self.highest + 1, np.int64)  # a byte-level token has a character for each byte
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token.removesuffix("</w>") if drops_space else token)
         self.plain = re.compile(_PLAIN if drops_space else f"[ \\n]+{_PLAIN}")
@@ -54,12 +68,19 @@ class UnitEncoder:
     def whole(self, text: str) -> bytes:
         return array("I", self._alone(text)).tobytes()
 
-    def _units(self, text: str) -> list[str] | None:
+    def _marked(self, text: str) -> str | None:
+        """The text with its units' ends marked; None if it is to be encoded whole."""
+        if any(x in text for x in self.literals):
+            return None
         if self.drops_space:
             if "\u0130" not in text and "\u03a3" not in text:  # the others' lower case depends on nothing else
                 text = text.lower()
-            return text.replace("\n", " ").split(" ")
-        return None if any(c in text for c in _EXOTIC) else _SPACED.findall(text)
+            return text.replace("\n", " ")
+        if _CUT in text or any(c in text for c in _EXOTIC):
+            return None
+        if any(x in text for x in _RUNS) or text[-2:].isspace():
+            return _CUT.join(_SPACED.findall(text))
+        return text.replace(" ", _CUT + " ").replace("\n", _CUT + "\n")
 
     def _learn(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
         joined, alone = [], []
@@ -83,49 +104,50 @@ class UnitEncoder:
             for u, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
                 yield u, array("I", e.ids).tobytes()
 
-    def _fill(self, new: dict[str, bytearray]) -> None:
-        """The ids of the units that a batch has met first; those of plain units that end in a mark after a letter, where a pre-token always ends, are put together."""
-        ended = {u: u[:-1] for u in new if u[-1] in _ENDS and u[-2:-1].isalpha() and self.plain.fullmatch(u)}
-        cache = self.cache
-        stems = {s for s in ended.values() if s not in cache}
-        for u, ids in self._learn([u for u in new if u not in ended] + list(stems)):
-            if u in new:
-                new[u] += ids
-            cache[u] = ids
-        for u, s in ended.items():
-            cache[u] = ids = cache[s] + self.ends[u[-1]]
-            new[u] += ids
+    def _found(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units; of those that end in a mark after a letter, where a pre-token always ends, the rest's and the mark's."""
+        if len(self.young) > CACHE // 2:
+            self.young, self.elder = {"": b""}, self.young
+        young, elder = self.young, self.elder
+        out = list(map(young.get, units))
+        new, ended = [], []
+        for k, ids in enumerate(out):
+            if ids is None:
+                u = units[k]
+                ids = out[k] = elder.get(u)
+                if ids is not None:
+                    young[u] = ids
+                elif u[-1] in _ENDS and u[-2:-1].isalpha() and self.plain.fullmatch(u):
+                    ended.append(k)
+                else:
+                    new.append(k)
+        stems = {units[k][:-1] for k in ended}
+        stems = [s for s in stems if s not in young and s not in elder]
+        learned = dict(self._learn(list({units[k] for k in new}.union(stems))))
+        for k in new:
+            out[k] = learned[units[k]]
+        for k in ended:
+            u = units[k]
+            stem = learned.get(u[:-1])
+            if stem is None:
+                stem = young[u[:-1]] if u[:-1] in young else elder[u[:-1]]
+            out[k] = learned[u] = stem + self.ends[u[-1]]
+        young.update(learned if all(len(u) <= UNIT_CHARS for u in learned) else {u: ids for u, ids in learned.items() if len(u) <= UNIT_CHARS})
+        return out
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text (null: empty) as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHE:
-            self.cache = _Ids(self)
-        get, new = self.cache.__getitem__, self.cache.new
-        found = []
-        for text in texts:
-            units = self._units(text or "")
-            found.append(text if units is None else list(map(get, units)))
-        self._fill(new)
-        new.clear()
-        for ids in found:
-            yield self.whole(ids) if isinstance(ids, str) else b"".join(ids)
-
-
-class _Ids(dict):
-    """Ids of units. A unit that is met first gets an array that is filled before the batch ends; a long one is encoded each time."""
-
-    def __init__(self, own: UnitEncoder) -> None:
-        super().__init__({"": b""})
-        self.own, self.new = own, {}
-
-    def __missing__(self, unit: str) -> bytes | bytearray:
-        if len(unit) > UNIT_CHARS:
-            return self.own.whole(unit)
-        self[unit] = self.new[unit] = ids = bytearray()
-        return ids
-
-
-def encoder(path: str, drops_space: bool, specials: bool = False) -> UnitEncoder:
+        marked = [self._marked(t) if t else "" for t in texts]
+        units = pc.split_pattern(pa.array([m or "" for m in marked], pa.large_string()), " " if self.drops_space else _CUT)
+        codes = units.flatten().dictionary_encode()
+        data = pa.array(self._found(codes.dictionary.to_pylist()), pa.large_binary()).take(codes.indices)
+        stops = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1)[units.offsets.to_numpy()].tolist()
+        ids = memoryview(data.buffers()[2] or b"")
+        for k, text in enumerate(texts):
+            yield self.whole(text) if marked[k] is None else bytes(ids[stops[k] : stops[k + 1]])
+
+
+def encoder(path: str, drops_space: bool, specials: bool = True) -> UnitEncoder:
     """The worker's encoder of that file."""
     key = (path, drops_space, specials)
     if key not in _encoders:

@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import slices
-from tidemark.llm.encoding import encoder, tokenizer_path
+from tidemark.llm._shared import mapped, slices
+from tidemark.llm.encoding import ROWS, encoder, tokenizer_path
 
 CAPACITY, POOL, END_ID = 1024, 4096, 0
 
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, path: str, drops_space: bool = False, end_id: int = EN
             )
 
         def windows() -> Iterator[list[tuple]]:
-            for piece in slices(batches):
+            for piece in slices(batches, most=ROWS):
                 for doc_id, data in zip(piece.column("id").to_pylist(), tokenizer.batch(piece.column("text").to_pylist()), strict=True):
                     yield from packer.add((doc_id, len(data) // 4 + 1), data + end)
             yield from packer.rest()
@@ -152,7 +152,7 @@ def pack(docs: DataFrame, path: str, drops_space: bool = False, end_id: int = EN
         yield batch()
 
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(apply, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return mapped(docs, apply, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
