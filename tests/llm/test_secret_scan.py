@@ -1,10 +1,17 @@
 import hashlib
+import math
+import random
 import re
+from functools import cache
+from itertools import product
 
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import clashing, documents
 from tidemark.llm import secret_scan as S
+from tidemark.llm.encoding import tokenizer_path
+
+BY = S.prices(tokenizer_path(S.DICTIONARY))
 
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -25,7 +32,7 @@ TEXTS = [
 
 def test_base_spans():
     for t in TEXTS:
-        assert [s for s in S.find(t) if s[1] != "guess"] == brute(t), t
+        assert [s for s in S.find(t, BY) if s[1] != "guess"] == brute(t), t
 
 
 def test_query(spark, sf_dir):
@@ -48,47 +55,92 @@ def test_odd_rows(spark):
 
 
 def test_guess_costs():
-    assert S.guess_cost("password") < 1.5
-    assert S.guess_cost("Passw0rd") < 3
-    assert S.guess_cost("qwertyuiop") < 4
-    assert S.guess_cost("aaaaaaaaaaaa") < 4
-    assert S.guess_cost("abcabcabcabc") < 6
-    assert S.guess_cost("1987-06-12") < 5
-    assert S.guess_cost("changeme2024") < 6
-    assert S.guess_cost("opposition") < 6
-    assert S.guess_cost("x9$Kq2!vLm7#") > 14
-    assert S.guess_cost("Tr7vQz81pLx0") > 12
-
-
-def test_guess_is_the_cheapest_segmentation():
-    """Against a recursion over all segmentations of the same kinds of segments, for values of plain brute force and words."""
-    from functools import cache
-
-    value = "k9passz1"
+    assert S.guess_cost("password", BY) < 1.5
+    assert S.guess_cost("Passw0rd", BY) < 3
+    assert S.guess_cost("qwertyuiop", BY) < 4
+    assert S.guess_cost("aaaaaaaaaaaa", BY) < 4
+    assert S.guess_cost("abcabcabcabc", BY) < 6
+    assert S.guess_cost("1987-06-12", BY) < 5
+    assert S.guess_cost("changeme2024", BY) < 6
+    assert S.guess_cost("opposition", BY) < 6
+    assert S.guess_cost("x9$Kq2!vLm7#", BY) > 14
+    assert S.guess_cost("Tr7vQz81pLx0", BY) > 12
+
+
+def price(piece):
+    """The cheapest price of one segment, each kind by its definition."""
+    low, out = piece.lower(), [math.inf]
+    clear = low.translate(S._LEET)
+    if len(piece) == 1:
+        return S._brute(piece)
+    cased = 0.0 if piece == low else 0.3 if piece[1:] == low[1:] or piece.isupper() else 1.0
+    for word, more in ((low, 0.0), (clear, 0.5)):
+        if word in BY.rank:
+            out.append(BY.rank[word] + more + cased)
+            break
+    if len(piece) >= 3 and low.isascii() and low.isalpha():
+        out.append(sum(BY.after[p] for p in zip(" " + low, low, strict=False)) + 0.5 * sum(a != b for a, b in zip(piece, low, strict=True)))
+    if any(m.fullmatch(piece) for m in S._DATES):
+        out.append(S._YEAR if len(piece) == 4 else S._DAY)
+    for w in (1, 2, 3, 4):
+        if len(piece) % w == 0 and len(piece) >= max(3, 2 * w) and piece == piece[:w] * (len(piece) // w):
+            out.append(sum(map(S._brute, piece[:w])) + S.REPEAT)
+    if len(piece) >= 3:
+        ways = [S._DIRECTIONS.get(p, ()) for p in zip(low, low[1:], strict=False)]
+        for way in product(*ways):
+            out.append(S.WALK + S.TURN * sum(a != b for a, b in zip(way, way[1:], strict=False)))
+    return min(out)
+
+
+def cheapest(value):
+    """Over all segmentations."""
 
     @cache
     def best(at):
         if at == len(value):
             return 0.0
-        step = 0.3010299956639812 if at else 0.0
-        options = [S._brute(value[at]) + best(at + 1)]
-        for end in range(at + 3, len(value) + 1):
-            piece = value[at:end]
-            if piece in S._RANK:
-                options.append(step + S._RANK[piece] + best(end))
-            if piece.isalpha():
-                options.append(step + S._UNLISTED + best(end))
-        return min(options)
+        return min(price(value[at:end]) + best(end) + (S.STEP if at and end > at + 1 else 0.0) for end in range(at + 1, len(value) + 1))
+
+    return best(0)
 
-    assert abs(S.guess_cost(value) - best(0)) < 1e-9
+
+def test_guess_is_the_cheapest_segmentation():
+    rng = random.Random(8)
+    parts = ["pass", "Word", "p4ss", "12", "1987", "120687", "aaa", "abab", "xyzxyz", "qwe", "qaz", "lkj", "Zq", "$", "é", "monkey", "efgh", "2024-01-31", "Q7"]
+    for _ in range(150):
+        value = "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
+        assert abs(S.guess_cost(value, BY) - cheapest(value)) < 1e-9, value
+        assert (S.guess_cost(value, BY, S.LEAST) >= S.LEAST) == (cheapest(value) >= S.LEAST)
+
+
+def test_values_of_any_length():
+    for value in ("a" * 2000, "ab" * 5000, "qwertyuiop" * 3, "password" * 2):
+        assert S.guess_cost(value[:3000], BY, S.LEAST) < S.LEAST or value.startswith("qwe")
+    assert S.guess_cost("x9$Kq2!vLm7#" * 100_000, BY, S.LEAST) >= S.LEAST
+
+
+def test_planted_values(spark):
+    """Table level: secrets that the base patterns miss are found, weak values and prose aren't."""
+    rng = random.Random(4)
+    strong = lambda: "".join(rng.choice("abcdefghkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!$%&*+") for _ in range(14))
+    frames = ["db://u{}:{}@host", "pwd: {1} x{0}", "Passwort ist {1} x{0}", "Authorization: Bearer {1} x{0}", "passphrase={1} x{0}", "client-key = '{1}' x{0}", "contraseña: {1} x{0}"]
+    rows = [(i, "Some prose.\n" + frame.format(i, value), "en", "s", 1) for i, (frame, value) in enumerate((f, strong()) for f in frames * 5)]
+    weak = ["changeme2024", "password123", "z" * 4000, "qwertyuiop", "the-answer", "1987-06-12", "monkeymonkey"]
+    rows += [(100 + i, f"pwd: {w} and the secret: everything there is", "en", "s", 1) for i, w in enumerate(weak)]
+    found = {r["doc_id"]: r["found"] for r in S.scan(documents(spark, rows)).collect()}
+    assert all(any(s["kind"] == "guess" for s in found[i]) for i in range(35))
+    assert not any(found[100 + i] for i in range(len(weak)))
+    for i, text, *_ in rows:  # against the patterns and prices, without any short cut
+        want = {(m.start(1), m.start(1) + len(v)) for p in (S._CONTEXT, S._ADDRESS) for m in p.finditer(text) if len(v := m[1].rstrip(".,:;)]}")) >= S.SHORTEST and (cheapest(v) if len(v) < 40 else 0) >= S.LEAST}
+        assert want == {(s["start"], s["end"]) for s in found[i] if s["kind"] == "guess"}
 
 
 def test_contexts_and_redaction(spark):
     text = "db://bob:x9$Kq2!vLm7#@host pwd: x9$Kq2!vLm7# password: changeme the key: opposition"
-    spans = S.find(text)
+    spans = S.find(text, BY)
     assert [text[a:b] for a, k, b in spans if k == "guess"] == ["x9$Kq2!vLm7#", "x9$Kq2!vLm7#"]
-    assert S.redact(text) == "db://bob:[SECRET]@host pwd: [SECRET] password: changeme the key: opposition"
-    assert S.redact("token = abcdefabcdefabcdef12 ok") == "[SECRET] ok"
-    assert S.redact(None) is None
+    assert S.redact(text, BY) == "db://bob:[SECRET]@host pwd: [SECRET] password: changeme the key: opposition"
+    assert S.redact("token = abcdefabcdefabcdef12 ok", BY) == "[SECRET] ok"
+    assert S.redact(None, BY) is None
     df = documents(spark, [(1, text, "en", "s", 1)])
     assert S.redacted(df).select(F.length("text")).first()[0] < len(text)

@@ -3,25 +3,41 @@
 The base spans are those of three patterns, leftmost and non-overlapping for each kind, a match
 counting only if it is long enough. Beside them, the value that follows a credential's name, or
 stands between user and host of an address, is a span of kind `guess` if guessing it is expensive:
-the dynamic programme finds the cheapest segmentation into known words, dates, repeats, keyboard
-walks and brute-force spans, as log10 of the guesses they take, and the span counts from LEAST on.
-A value within a base span of kind `assign` is not reported again.
+the dynamic programme finds the cheapest segmentation into words, dates, repeats, keyboard walks,
+runs of letters and brute-force spans, as log10 of the guesses they take, and the span counts from
+LEAST on. A value that a base span holds too is a span of its own, which tells a password from a
+placeholder after its name.
 
-Starts and ends are code points, ends exclusive. Null counts as empty: no spans. A value of more than
-MAX_VALUE characters costs what its pieces of that length cost together, and is read until it counts.
+Segments and their prices (log10 of guesses; each but brute force costs STEP more where it follows another):
+
+* a word of a ranked dictionary: its rank, 0.3 to 1 more for capitals, 0.5 for digits in place of letters;
+  the dictionary is what guessers try first, then a public tokenizer's whole words, whose ids are their ranks;
+* a date or year; a unit of one to four characters repeated (the unit by brute force, and REPEAT);
+* a walk of three keys or more (WALK, and TURN for each change of direction);
+* three letters or more, each by its probability after the one before it in the dictionary's words;
+* one character by brute force.
+
+The recurrence runs over a whole value of any length: repeats, walks and letters carry their best open
+segment along, so that it looks back over a bounded window only, and it ends early where nothing in
+that window can still make the value cheap.
+
+Starts and ends are code points, ends exclusive. Null counts as empty: no spans.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import slices
+from tidemark.llm._shared import bounded, in_slices, mapped, slices
+from tidemark.llm.encoding import tokenizer_path
 
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which a value counts, and the shortest value looked at.
@@ -31,94 +47,161 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # as AKIA[A-Z0-9]+ of 18 or more: a shorter match has no longer one inside
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Names whose value, after a colon or equals sign, is in a credential's context.
-_CONTEXT = re.compile(r"""(?:passphrase|password|passwd|passcode|pwd|secret|credentials?|token|(?:api|access|private|auth|client)[_-]?key|bearer|authorization)["']?[\x20\t]*[:=]+[\x20\t]*["']?(?:bearer[\x20\t]+)?([^\s"'<>,;]+)""", _FLAGS)
+#: Names whose value, after a colon, an equals sign or a verb, is in a credential's context.
+_CONTEXT = re.compile(
+    r"""(?:passphrase|password|passwd|passcode|passwort|kennwort|contrase[\u00f1\u00d1n]a|pwd|secret|credentials?|token|(?:api|access|private|auth|client)[_-]?key|bearer|authorization)["']?(?:[\x20\t]*[:=]+|[\x20\t]+(?:is|ist|es|est)[\x20\t])[\x20\t]*["']?(?:bearer[\x20\t]+)?([^\s"'<>,;]+)""",
+    _FLAGS,
+)
 _ADDRESS = re.compile(r"[a-z][a-z0-9+.-]*://[^\s:/@]+:([^\s/@]+)@", _FLAGS)
-_CONTEXT_NAMES = ("pass", "pwd", "secret", "credential", "token", "key", "bearer", "authorization")
+_CONTEXT_NAMES = ("pass", "pwd", "kennwort", "contrase", "secret", "credential", "token", "key", "bearer", "authorization")
 
-#: Words by how soon a guesser tries them.
-WORDS = (
+#: What guessers try first, in their order.
+FIRST = (
     "password admin welcome login user test guest root master letmein dragon monkey qwerty secret token changeme default sample example demo temp pass "
     "love hello summer winter spring autumn monday friday server system service account public private access key api prod dev stage local data base "
-    "shadow sunshine princess football baseball superman batman trustno one two three money freedom whatever computer internet network office company "
+    "shadow sunshine princess football baseball superman batman trustno money freedom whatever computer internet network office company "
     "your the and for you this that with from none null true false empty string value placeholder redacted hidden here insert enter"
 ).split()
-_RANK = {w: math.log10(i + 2) for i, w in enumerate(WORDS)}
-#: log10 guesses of a word of letters that is not listed, and its greatest length.
-_UNLISTED, _WORD_MOST = 5.7, 14
+STEP, REPEAT, WALK, TURN = math.log10(2), 1.0, math.log10(94 * 10), math.log10(6)
 _LEET = str.maketrans("0134578@$!", "oleastbasi")
-_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789")
-_NEXT = {(a, b) for row in _ROWS for a, b in zip(row, row[1:], strict=False)}
-_NEXT |= {(b, a) for a, b in _NEXT} | {(a, b) for upper, lower in zip(_ROWS[:3], _ROWS[1:4], strict=True) for a, b in zip(upper, lower, strict=False)}
-_DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01]))|(?:(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d)|(?:(?:19|20)\d\d)")
-_LONGEST_WORD = max(map(len, WORDS))
-#: Characters of a value that are segmented at a time.
-MAX_VALUE = 512
+_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
+_DATES = tuple(
+    map(
+        re.compile,
+        (
+            r"(?:19|20)\d\d",
+            r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])",
+            r"(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d",
+        ),
+    )
+)
+_YEAR, _DAY = math.log10(120), math.log10(120 * 366)
+
+
+def _steps() -> dict[tuple[str, str], tuple[int, ...]]:
+    """Directions in which the second key is next to the first: along a row, down or up a column, on or back in the alphabet."""
+    out: dict[tuple[str, str], list[int]] = {}
+    for k, row in enumerate(_ROWS):
+        kind = 0 if k < 4 else 4
+        for a, b in zip(row, row[1:], strict=False):
+            out.setdefault((a, b), []).append(kind)
+            out.setdefault((b, a), []).append(kind + 1)
+    for upper, lower in zip((_ROWS[0][1:], *_ROWS[1:3]), _ROWS[1:4], strict=True):
+        for a, b in zip(upper, lower, strict=False):
+            out.setdefault((a, b), []).append(2)
+            out.setdefault((b, a), []).append(3)
+    return {k: tuple(v) for k, v in out.items()}
+
+
+_DIRECTIONS = _steps()
+
+
+class Prices:
+    """The ranked dictionary and the letters' probabilities in its words."""
+
+    def __init__(self, path: str | None) -> None:
+        self.rank = {w: math.log10(i + 2) for i, w in enumerate(FIRST)}
+        if path is not None:
+            with open(path, encoding="utf-8") as f:
+                vocabulary = json.load(f)["model"]["vocab"]
+            words = (t[:-4] for t, _ in sorted(vocabulary.items(), key=lambda x: x[1]) if t.endswith("</w>"))
+            for w in words:
+                if len(w) >= 3 and w.isascii() and w.isalpha():
+                    self.rank.setdefault(w, math.log10(len(self.rank) + 2))
+        self.longest = max(map(len, self.rank))
+        counts = Counter(pair for w in self.rank for pair in zip(" " + w, w, strict=False))
+        total = Counter()
+        for (a, _), n in counts.items():
+            total[a] += n
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        self.after = {(a, b): -math.log10((counts[a, b] + 1) / (total[a] + 26)) for a in " " + letters for b in letters}
+
+
+_prices: dict[str | None, Prices] = {}
+
+
+def prices(path: str | None) -> Prices:
+    """The worker's prices by that tokenizer's words."""
+    if path not in _prices:
+        _prices[path] = Prices(path)
+    return _prices[path]
 
 
 def _brute(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if "a" <= c <= "z" or "A" <= c <= "Z" else math.log10(33) if c < "\x80" else 2.0
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation."""
-    n = len(value)
-    low = value.lower() if len(value.lower()) == n else value
+def _cased(value: str, low: str) -> float:
+    return 0.0 if value == low else 0.3 if value[1:] == low[1:] or value.isupper() else 1.0
+
+
+def guess_cost(value: str, by: Prices, enough: float = math.inf) -> float:
+    """log10 of the guesses of the cheapest segmentation; any figure from `enough` on if they are as many."""
+    n, rank, after, inf = len(value), by.rank, by.after, math.inf
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     clear = low.translate(_LEET)
-    cost = [0.0] + [math.inf] * n
-    dates: dict[int, list[int]] = {}
-    for at in range(n):
-        if value[at].isdigit() and (m := _DATE.match(value, at)):
-            dates.setdefault(at, []).append(m.end())
-    step = math.log10(2)  # where one segment ends and another begins
-    i = 0
-    while i < n:
-        here = cost[i] + (step if i else 0.0)
-        # brute force, a character on
-        cost[i + 1] = min(cost[i + 1], (cost[i] if i else 0.0) + _brute(value[i]))
-        # words, listed ones also disguised
-        for j in range(i + 3, min(n, i + _LONGEST_WORD) + 1):
-            rank = _RANK.get(low[i:j])
-            if rank is None and (rank := _RANK.get(clear[i:j])) is not None:
-                rank += 0.5
-            if rank is not None:
-                cased = 0.0 if value[i:j] == low[i:j] else 0.3 if value[i + 1 : j] == low[i + 1 : j] or value[i:j].isupper() else 1.0
-                cost[j] = min(cost[j], here + rank + cased)
-        j = i
-        while j < n and j - i < _WORD_MOST and low[j].isalpha() and (j == i or value[j] == low[j]):
-            j += 1
-            if j - i >= 3:
-                cost[j] = min(cost[j], here + _UNLISTED)
-        for j in dates.get(i, ()):
-            cost[j] = min(cost[j], here + (2.1 if j - i == 4 else 4.6))
-        # repeats of one to four characters
-        for width in (1, 2, 3, 4):
-            unit, j = value[i : i + width], i + width
-            while value[j : j + width] == unit and j + width <= n:
-                j += width
-            if j - i >= max(3, 2 * width):
-                cost[j] = min(cost[j], here + sum(map(_brute, unit)) + math.log10((j - i) / width))
-        # walks over the keyboard, the alphabet or the digits
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in _NEXT:
-            j += 1
-        if j - i >= 3:
-            cost[j] = min(cost[j], here + math.log10(94 * (j - i)))
-        i += 1
+    cost = [0.0] + [inf] * n  # of the beginning of each length
+    back = max(by.longest, 10)
+    letters = [inf] * 3  # open runs of one, two, and three or more letters that end here
+    walks: tuple[dict[int, float], dict[int, float]] = ({}, {})  # by direction: open walks of two keys, and of three or more
+    repeats = {w: [inf] * w for w in (1, 2, 3, 4)}  # by width: open repeats that end at the last places
+    _dates(value, 0, cost)
+    for j in range(1, n + 1):
+        # what ends at j; a segment that begins at i has paid for cost[i] and, but at the beginning, STEP
+        here, c = j - 1, low[j - 1]
+        best = min(cost[j], cost[here] + _brute(value[here]))  # dates have been put in ahead
+        # letters
+        if "a" <= c <= "z":
+            first = cost[here] + (STEP if here else 0.0) + after[" ", c]
+            more = after.get((low[here - 1], c), inf) if here else inf
+            big = 0.0 if value[here] == c else 0.5
+            letters = [first + big, letters[0] + more + big, min(letters[1], letters[2]) + more + big]
+            best = min(best, letters[2])
+        else:
+            letters = [inf] * 3
+        # words
+        if "a" <= clear[here] <= "z" or "a" <= c <= "z":
+            for i in range(max(0, j - by.longest), j - 2):
+                word = rank.get(low[i:j])
+                if word is None and (word := rank.get(clear[i:j])) is not None:
+                    word += 0.5
+                if word is not None:
+                    best = min(best, cost[i] + (STEP if i else 0.0) + word + _cased(value[i:j], low[i:j]))
+        # walks
+        two: dict[int, float] = {}
+        three: dict[int, float] = {}
+        if j > 1:
+            for d in _DIRECTIONS.get((low[j - 2], c), ()):
+                two[d] = cost[j - 2] + (STEP if j > 2 else 0.0) + WALK
+                three[d] = min((x + (TURN if d != e else 0.0) for old in walks for e, x in old.items()), default=inf)
+                best = min(best, three[d])
+        walks = two, three
+        # repeats: the shortest one that ends here, or an open one a unit longer
+        for w, ends in repeats.items():
+            found, least = inf, max(2 * w, 3)
+            if j >= 2 * w and value[j - w : j] == value[j - 2 * w : j - w]:
+                found = ends[j % w]
+                if j >= least and value[j - w : j] == value[j - least : j - least + w]:
+                    at = j - least
+                    found = min(found, cost[at] + (STEP if at else 0.0) + sum(map(_brute, value[j - w : j])) + REPEAT)
+            ends[j % w] = found
+            best = min(best, found)
+        cost[j] = best
+        _dates(value, j, cost)
+        if best >= enough and min(min(cost[max(0, j - back) : j + 11]), *letters, *two.values(), *three.values(), *(min(e) for e in repeats.values())) >= enough:
+            return enough
     return cost[n]
 
 
-def costly(value: str, least: float = LEAST) -> bool:
-    """Whether guessing a value of any length takes 10 ** least guesses or more."""
-    total = 0.0
-    for at in range(0, len(value), MAX_VALUE):
-        total += guess_cost(value[at : at + MAX_VALUE])
-        if total >= least:
-            return True
-    return False
+def _dates(value: str, at: int, cost: list[float]) -> None:
+    """Dates that begin at a place, put in where they end."""
+    if value[at : at + 1].isdigit():
+        for pattern in _DATES:
+            if m := pattern.match(value, at):
+                cost[m.end()] = min(cost[m.end()], cost[at] + (STEP if at else 0.0) + (_YEAR if m.end() - at == 4 else _DAY))
 
 
-def find(text: str | None) -> list[tuple[int, str, int]]:
+def find(text: str | None, by: Prices) -> list[tuple[int, str, int]]:
     """(start, kind, end), by start and then kind as in KINDS."""
     if not text:
         return []
@@ -128,27 +211,24 @@ def find(text: str | None) -> list[tuple[int, str, int]]:
         out += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
-    assigned = list(out)
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     found = []
-    if (":" in text or "=" in text) and any(name in low for name in _CONTEXT_NAMES):
+    if any(name in low for name in _CONTEXT_NAMES):
         found += _CONTEXT.finditer(text)
     if "://" in text and "@" in text:
         found += _ADDRESS.finditer(text)
     taken = set()
     for m in found:
-        a = m.start(1)
         value = m[1].rstrip(".,:;)]}")
-        b = a + len(value)
-        if len(value) >= SHORTEST and (a, b) not in taken and not any(s <= a and b <= e for s, _, e in assigned) and costly(value):
-            taken.add((a, b))
-            out.append((a, 3, b))
-    return [(a, KINDS[k], b) for a, k, b in sorted(out)]
+        span = (m.start(1), 3, m.start(1) + len(value))
+        if len(value) >= SHORTEST and span not in taken and guess_cost(value, by, LEAST) >= LEAST:
+            taken.add(span)
+    return [(a, KINDS[k], b) for a, k, b in sorted([*out, *taken])]
 
 
-def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
+def redact(text: str | None, by: Prices, mark: str = "[SECRET]") -> str | None:
     """The text with each run of overlapping spans replaced by the mark."""
-    spans = find(text)
+    spans = find(text, by)
     if not spans:
         return text
     out, end = [], 0
@@ -160,29 +240,35 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
 
 
 _SPANS = "array<struct<kind:string,start:long,end:long>>"
+#: The tokenizer whose words are the dictionary.
+DICTIONARY = "word_bpe_49k.json"
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id and found, an array of (kind, start, end)."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dictionary: str | None = None) -> DataFrame:
+    """Per row: doc_id and found, an array of (kind, start, end); dictionary is a tokenizer's file, by default the public DICTIONARY."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    path = dictionary or tokenizer_path(DICTIONARY)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = prices(path)
         for piece in slices(batches):
-            found = [[{"kind": k, "start": a, "end": b} for a, k, b in find(t)] for t in piece.column("text").to_pylist()]
+            found = [[{"kind": k, "start": a, "end": b} for a, k, b in find(t, by)] for t in piece.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(found, kind)], names=["doc_id", "found"])
 
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(apply, f"doc_id long, found {_SPANS}")
+    return mapped(docs, apply, f"doc_id long, found {_SPANS}")
 
 
-def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def redacted(docs: DataFrame, text_col: str = "text", dictionary: str | None = None) -> DataFrame:
     """docs with the secrets of the text column replaced."""
+    path = dictionary or tokenizer_path(DICTIONARY)
 
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        by = prices(path)
         for batch in batches:
-            yield pa.array([redact(t) for t in batch.to_pylist()], pa.string())
+            yield in_slices(batch, lambda texts: pa.array([redact(t, by) for t in texts], pa.string()), pa.string())
 
-    return docs.withColumn(text_col, F.arrow_udf(apply, "string", F.ArrowUDFType.SCALAR_ITER)(F.col(text_col)))
+    return bounded(docs).withColumn(text_col, F.arrow_udf(apply, "string", F.ArrowUDFType.SCALAR_ITER)(F.col(text_col)))
 
 
 def joined(spans: Column) -> Column:
