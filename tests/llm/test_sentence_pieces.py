@@ -38,6 +38,24 @@ def test_best_sum_of_scores_is_another_encoding():
     assert differ
 
 
+def test_scores_decide_where_they_are_probabilities():
+    """Against all segmentations, for words that share prefixes."""
+    model = P.Pieces(PATH, merges=False)
+    words = ["▁international", "▁internal", "▁inter", "▁thereafter", "▁therefore", "▁there", "▁q😀z"]
+    found = model.learn(words)
+    for word in words:
+        best = [(0.0, [])]
+        for i in range(1, len(word) + 1):
+            best.append(max(((best[j][0] + model.scores.get(word[j:i], model.unknown), best[j][1] + [word[j:i]]) for j in range(i) if word[j:i] in model.scores or j == i - 1), key=lambda x: x[0]))
+        assert found[word] == model._ids(best[-1][1])
+
+
+def test_a_place_without_compatible_piece():
+    model = P.Pieces(PATH)
+    model.follows = lambda first, second: False
+    assert model.decode(array("I", model.learn(["▁therefore"])["▁therefore"]).tolist()) == "therefore"
+
+
 @pytest.mark.parametrize("more", [False, True])
 def test_odd_rows(spark, more):
     df = documents(spark)

@@ -6,11 +6,14 @@ which lays them out as a depth-first walk of their trie, and the forward pass ke
 of the current word its score and last piece: what two neighbours have in common is not computed
 again.
 
-For a merge-trained model the path of the best sum of scores is not what the model's own encoder
-gives, so the search runs over compatible paths: a piece may follow another only if merging their
+The best path to a prefix is the one of the greatest sum of scores over all pieces that end there. For
+a merge-trained model the path of the best sum over any pieces is not what the model's own encoder
+gives, so the search runs over compatible steps: a piece may follow another only if merging their
 joined text gives just these two, and begin a word only if merging its text gives it alone. Of a
-prefix there is one such path, and it is the merge encoding. A character without a piece is a step
-of its own and is written as its UTF-8 bytes' pieces.
+prefix there is then one path, the merge encoding; where a model's scores are log-probabilities
+(`merges` unset), several compete. Should no compatible piece end at a place, all pieces that do
+count there. A character without a piece is a step of its own, below all pieces, and is written as
+its UTF-8 bytes' pieces.
 
 Null and empty texts have no pieces. Decoding gives the text, but for mark characters in it, which
 become blanks. Rows with null or repeated doc_id are rows of their own.
@@ -18,6 +21,7 @@ become blanks. Rows with null or repeated doc_id are rows of their own.
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections import ChainMap
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import slices
+from tidemark.llm._shared import mapped, slices
 from tidemark.llm.encoding import tokenizer_path
 
 MARK = "▁"
@@ -39,16 +43,20 @@ _models: dict[str, Pieces] = {}
 
 
 class Pieces:
-    def __init__(self, path: str) -> None:
+    """merges: the model's scores are the order of its merges."""
+
+    def __init__(self, path: str, merges: bool = True) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.merges = merges
         ids = range(model.get_piece_size())
         plain = [i for i in ids if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.ids = {model.id_to_piece(i): i for i in plain}
         self.scores = {model.id_to_piece(i): model.get_score(i) for i in plain}
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.longest = max(map(len, self.ids))
+        self.ends = {piece[k:] for piece in self.ids for k in range(len(piece))}
+        self.unknown = min(self.scores.values()) - 10
         self.bytes_of = [b""] * len(ids)
         for piece, i in self.ids.items():
             self.bytes_of[i] = piece.replace(MARK, " ").encode()
@@ -86,12 +94,36 @@ class Pieces:
         packed = self.packed
         return b"".join([packed[p] if p in packed else array("I", [self.byte_ids[b] for b in p.encode()]).tobytes() for p in pieces])
 
+    def _best(self, word: str, i: int, last: list[str], forward: list[float], merges: bool) -> tuple[float, str]:
+        """The best path's score to the prefix of i characters, and its last piece ("": none)."""
+        ends, scores, pairs = self.ends, self.scores, self.pairs
+        best, chosen = -math.inf, ""
+        for start in range(i - 1, -1, -1):
+            piece = word[start:i]
+            score = scores.get(piece)
+            if score is None:
+                if start == i - 1:
+                    score = self.unknown
+                elif piece not in ends:  # nor does a longer piece end so
+                    break
+                else:
+                    continue
+            score += forward[start]
+            if score > best:
+                if merges:
+                    key = (last[start], piece)
+                    fits = pairs.get(key)
+                    if not (self.follows(*key) if fits is None else fits):
+                        continue
+                best, chosen = score, piece
+        return best, chosen
+
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """The ids of distinct words, in one walk over them in order."""
-        scores, pairs, follows, longest, out = self.scores, self.pairs, self.follows, self.longest, {}
+        out: dict[str, bytes] = {}
         before = ""
-        last: list[str] = [""]  # of each prefix of the word: its last piece
-        forward: list[float] = [0.0]  # and its path's score
+        last: list[str] = [""]  # of each prefix of the word: the last piece of its best path
+        forward: list[float] = [0.0]  # and the path's score
         for word in sorted(words):
             n, common = len(word), 0
             for a, b in zip(before, word, strict=False):
@@ -100,21 +132,11 @@ class Pieces:
                 common += 1
             del last[common + 1 :], forward[common + 1 :]
             for i in range(common + 1, n + 1):
-                for start in range(i - 1, max(0, i - longest) - 1, -1):  # of the pieces that end here one fits, mostly a short one
-                    piece = word[start:i]
-                    score = scores.get(piece)
-                    if score is None:
-                        if start < i - 1:
-                            continue
-                        score = 0.0
-                    key = (last[start], piece)
-                    found = pairs.get(key)
-                    if found or found is None and follows(*key):
-                        last.append(piece)
-                        forward.append(forward[start] + score)
-                        break
-                else:
-                    raise AssertionError(f"no compatible path for {word[:i]!r}")
+                best, piece = self._best(word, i, last, forward, self.merges)
+                if not piece:
+                    best, piece = self._best(word, i, last, forward, False)
+                forward.append(best)
+                last.append(piece)
             pieces, i = [], n
             while i:
                 pieces.append(last[i])
@@ -155,7 +177,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for piece in slices(batches):
             yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(list(model.encode(piece.column("text").to_pylist())), pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(apply, "doc_id long, ids binary")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), apply, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -167,7 +189,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [model.decode(array("I", ids)) for ids in piece.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
-    return encoded.mapInArrow(apply, "doc_id long, ids binary, text string")
+    return mapped(encoded, apply, "doc_id long, ids binary, text string")
 
 
 def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
