@@ -41,6 +41,7 @@ def test_random_vectors(spark, spread):
         rows.append((i, [(c + rng.gauss(0, 0.2)) * scale for c in rng.choice(centres)], 1))
     check(spark, rows, 50)
     check(spark, rows[:300], 7, 3, block_values=12 * 9)
+    check(spark, rows, 50, slab=300, cell=20)
 
 
 def test_odd_rows(spark):
