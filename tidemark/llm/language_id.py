@@ -2,9 +2,10 @@
 
 Each language's model of order ORDER is learned from a bounded sample of labelled documents: per
 language the SAMPLE_DOCS rows with the smallest hash of their doc_id, whole texts of at most
-SAMPLE_CHARS characters, for the MAX_LANGS most frequent labels. n-grams are kept in sorted arrays
-of 64-bit hashes, one for each order and common to all languages, beside a matrix of the languages'
-interpolated probabilities; contexts have an array of back-off weights of their own.
+SAMPLE_CHARS characters, as far as they have MODEL_VALUES / languages ** 2 characters together, which
+bounds the model for any number of labels. n-grams are kept in sorted arrays of 64-bit hashes, one for
+each order and common to all languages, beside a matrix of the languages' interpolated probabilities;
+contexts have an array of back-off weights of their own.
 
 Text is folded to lower case, letters and marks are symbols, and any run of other characters is one
 boundary symbol. The predicted language has the lowest cross-entropy a symbol. One sampled document
@@ -12,7 +13,8 @@ in five is held back: these set the temperature that turns cross-entropies into
 each language the cross-entropy above which a prediction is marked as rejected.
 
 Null texts and texts without a letter are `und` with score 0; so is everything if no language can
-be learned. A null doc_id is not held out and never learned from.
+be learned. A null doc_id is not held out and never learned from; of rows with the same doc_id and
+label one is learned from, the text with the smallest hash.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm._shared import slices
+from tidemark.llm._shared import mapped, slices
 
-ORDER, SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGS = 5, 300, 200_000, 64
+ORDER, SAMPLE_DOCS, SAMPLE_CHARS, MODEL_VALUES = 5, 300, 200_000, 160_000_000
 #: Share of a language's held-back documents whose cross-entropy the rejection threshold lets pass.
 ACCEPT = 0.995
 _BASE = 0x9E3779B97F4A7C15
@@ -225,18 +227,26 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def learned(docs: DataFrame, docs_each: int = SAMPLE_DOCS, order: int = ORDER) -> Model:
-    """The models, learned from the bounded sample; docs: id, text, lang of the rows that may be learned from."""
+def sampled(docs: DataFrame, docs_each: int = SAMPLE_DOCS, model_values: int = MODEL_VALUES) -> DataFrame:
+    """lang, text, place (from 1 in each language) of the bounded sample; docs: id, text, lang of the rows that may be learned from."""
     keys = docs.where("id is not null and lang is not null").select("id", "lang")
-    langs = keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    langs = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("count"))  # a row for each label
     # far more than the sample, in the order of the hash, but not a language's rows all in one task
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     few = place < F.lit(float(1 << 40)) * (4 * docs_each + 200) / F.col("count")
-    keys = keys.join(F.broadcast(langs), "lang").where(few)
-    keys = keys.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(place, "id"))).where(F.col("place") <= docs_each).select("id", "lang", "place")
+    keys = keys.join(F.broadcast(langs), "lang").where(few).select("id", "lang").distinct()
+    keys = keys.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(place, "id"))).where(F.col("place") <= docs_each)
     rows = docs.join(F.broadcast(keys), ["id", "lang"]).where(F.length("text") <= SAMPLE_CHARS)
-    rows = rows.select("lang", "text", "place").limit(2 * docs_each * MAX_LANGS).collect()
-    rows.sort(key=lambda r: (r["lang"], r["place"], r["text"]))
+    rows = rows.groupBy("lang", "place").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("row"))
+    most = F.lit(model_values) / F.pow(F.lit(max(1, langs.count())), 2)
+    before = F.sum(F.length("row.text")).over(Window.partitionBy("lang").orderBy("place"))
+    return rows.withColumn("chars", before).where((F.col("chars") <= most) | (F.col("chars") == F.length("row.text"))).select("lang", "row.text", "place")
+
+
+def learned(docs: DataFrame, docs_each: int = SAMPLE_DOCS, order: int = ORDER, model_values: int = MODEL_VALUES) -> Model:
+    """The models, learned from the bounded sample; docs: id, text, lang of the rows that may be learned from."""
+    rows = sampled(docs, docs_each, model_values).collect()
+    rows.sort(key=lambda r: (r["lang"], r["place"]))
     texts: dict[str, list[str]] = {}
     for r in rows:
         if r["place"] % 5:
@@ -257,7 +267,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64(), from_pandas=True), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(apply, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return mapped(docs, apply, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def held_out(doc_id) -> F.Column:
