@@ -18,9 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidemark.llm._shared import written
+from tidemark.llm._shared import mapped, written
 
 #: Counters of a partition's summary, and digests whose winners are broadcast at most (about 56 bytes each).
 COUNTERS, HEAVY = 1024, 4096
@@ -47,7 +46,7 @@ def misra_gries(batches: Iterator[pa.RecordBatch], counters: int = COUNTERS) ->
 
 def frequent(digests: DataFrame, counters: int = COUNTERS, heavy: int = HEAVY) -> DataFrame:
     """At most `heavy` digests, among them every one that the merged summary can't rule out as the most frequent."""
-    parts = digests.select("digest").mapInArrow(lambda it: misra_gries(it, counters), "digest binary, n long")
+    parts = mapped(digests.select("digest"), lambda it: misra_gries(it, counters), "digest binary, n long")
     return parts.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "digest").limit(heavy)
 
 
@@ -62,9 +61,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     winners = written(winners.coalesce(1), "winners")
     marked = rows.join(F.broadcast(winners), "digest", "left")
     heavy = marked.where("group_size is not null").select("id", "digest", "keep_id", "group_size")
-    group = Window.partitionBy("digest")
     light = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    light = light.select("id", "digest", F.max("id").over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size"))
+    groups = light.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    light = light.join(groups, "digest").select("id", "digest", "keep_id", "group_size")
     return heavy.unionByName(light).select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
