@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm._shared import hot_join, signed, slices, written
+from tidemark.llm._shared import hot_join, mapped, signed, slices, written
 from tidemark.llm.components import components
 
 SEED = 42
@@ -174,7 +174,7 @@ def fingerprint_links(values: DataFrame, cap: int = SHARD_CAP) -> DataFrame:
         return _emit(link for run in grouped(batches, ["key", "sub"]) for link in shard_links(((r["fp"], r["fp"] & (1 << 64) - 1, None) for r in run), radius))
 
     def linked(shards: DataFrame) -> DataFrame:
-        return shards.select("key", "sub", "fp").repartition("key", "sub").sortWithinPartitions("key", "sub", "fp").mapInArrow(search, "a long, b long")
+        return mapped(shards.select("key", "sub", "fp").repartition("key", "sub").sortWithinPartitions("key", "sub", "fp"), search, "a long, b long")
 
     dealt = values.select("fp", F.explode(_pairs(_blocks(F.col("fp"), 16, 4), 16)).alias("key"))
     sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -194,7 +194,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(values, pa.int64())], names=["id", "fp"])
 
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(apply, "id long, fp long")
+    return mapped(docs, apply, "id long, fp long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return _emit(links())
 
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    signs = written(keyed.mapInArrow(sign, "id long, h long, uid long, fp long, bands array<long>, size int, shingles binary"), "signatures")
+    signs = written(mapped(keyed, sign, "id long, h long, uid long, fp long, bands array<long>, size int, shingles binary"), "signatures")
     texts = signs.groupBy("uid").agg(F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min("size").alias("size"))
     dealt = texts.select("uid", "fp", "size", F.explode("bands").alias("key"))
     sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shards = whole.unionByName(_block_pairs(dealt.where(F.col("n") > cap), cap, similarity))
     sets = signs.groupBy("uid").agg(F.min("shingles").alias("shingles")).join(dealt.select("uid").distinct(), "uid", "left_semi")
     shards = shards.join(sets, "uid").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "uid")
-    links = shards.select("key", "low", "high", "side", "uid", "fp", "shingles").mapInArrow(search, "a long, b long")
+    links = mapped(shards.select("key", "low", "high", "side", "uid", "fp", "shingles"), search, "a long, b long")
     roots = written(components(links), "roots")
     place = F.struct(F.col("id").isNull().alias("null"), "id", "h")
     # texts to their groups, then groups to the row that stays; both ways a large group's rows are spread

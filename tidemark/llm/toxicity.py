@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import slices
+from tidemark.llm._shared import bounded, in_slices, mapped, slices
 
 SAMPLE, LEXICON, LEAST_DOCS = 15_000, 600, 4
 TREES, DEPTH, RATE, BINS, LEAF = 120, 3, 0.1, 64, 10
@@ -214,7 +214,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
     """Terms with their log-odds in toxic against other texts; rows: text, toxic."""
-    counts = rows.select("text", "toxic").mapInArrow(_count_terms, "term string, toxic int, uses long, docs long")
+    counts = mapped(rows.select("text", "toxic"), _count_terms, "term string, toxic int, uses long, docs long")
     counts = counts.groupBy("term").agg(*[F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}") for c in ("uses", "docs") for k in (0, 1)])
     total = {int(r["toxic"]): float(r["n"]) for r in rows.groupBy("toxic").agg((F.coalesce(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))), F.lit(0)) + 1).alias("n")).collect()}
     if len(total) < 2:
@@ -241,7 +241,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for piece in slices(batches):
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("id", "fold", "toxic")), pa.array([maker.of(t) for t in piece.column("text").to_pylist()], pa.list_(pa.float64()))], names=["id", "fold", "toxic", "x"])
 
-    found = rows.where("fold >= 4").mapInArrow(features, "id long, fold long, toxic int, x array<double>").limit(4 * sample).collect()
+    found = mapped(rows.where("fold >= 4"), features, "id long, fold long, toxic int, x array<double>").limit(4 * sample).collect()
     found.sort(key=lambda r: (r["id"], r["x"]))
     fit, hold = [r for r in found if r["fold"] < 8], [r for r in found if r["fold"] >= 8]
     y = np.array([r["toxic"] for r in fit], np.float64)
@@ -254,15 +254,17 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:
-    """docs with the column `name` (0 to 1) beside its own."""
+    """docs with the column `name` (0 to 1) beside its own; a column of that name must not be there."""
+    if name in docs.columns:
+        raise ValueError(f"docs has a column {name!r}: give the score another name")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LEXICON and TREES
 
     def apply(batches):
         for batch in batches:
-            yield pa.array(shared.value.scores(batch.to_pylist()), pa.float64())
+            yield in_slices(batch, lambda texts: pa.array(shared.value.scores(texts), pa.float64()), pa.float64())
 
     toxicity = F.arrow_udf(apply, "double", F.ArrowUDFType.SCALAR_ITER)
-    return docs.withColumn(name, toxicity(F.col(text_col)))
+    return bounded(docs).withColumn(name, toxicity(F.col(text_col)))
 
 
 def held_out(doc_id) -> F.Column:
@@ -277,7 +279,7 @@ def learned_from(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    scored = score(docs, learned_from(spark, docs, sf_dir)).withColumnRenamed("toxicity", "score")
+    scored = score(docs, learned_from(spark, docs, sf_dir), name="score")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
