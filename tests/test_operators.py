@@ -164,3 +164,15 @@ def test_machines():
     assert b.session({"a": 10.0}, {"a": 10.0}, {"a": 9})["cash"] == pytest.approx(99.7)
     board = S.Leaderboard(0.1)
     assert [round(board.submit(x), 6) for x in (1.0, 0.95, 0.5)] == [1.0, 1.0, 0.5]
+
+
+def test_formula_limits_and_growth(spark):
+    panel = spark.createDataFrame([(1, 1, 4.0, 0.0), (1, 2, 8.0, -1.0), (1, 3, None, 2.0)], "k int, p int, x double, y double")
+    found = formulas.derive(panel, {"g": "growth(x, 1)", "h": "growth(y, 1)", "i": "-x ^ 2 + 3 * (x - 1)", "j": "2 / y"}, ["k"], "p").orderBy("p").collect()
+    assert [r["g_reason"] for r in found] == ["source_missing", None, "source_missing"] and abs(found[1]["g"] - 0.6931471805599453) < 1e-12
+    assert [r["h_reason"] for r in found] == ["source_missing", "nonpositive_growth_input", "nonpositive_growth_input"]
+    assert found[0]["i"] == -16 + 9 and found[0]["j_reason"] == "zero_denominator" and found[2]["j"] == 1.0
+    for bad in ("x + 101", "x[p-53]", "x ^ 0", "x ^ 1.5", "x x", "(x", "x[p-1", "mean(x[p:p-1])", "x +", "p + 1", "x ** 2", "1e9 * x", "+".join(["x"] * 61), "x" * 501, "", None, 3):
+        with pytest.raises(formulas.FormulaError):
+            formulas.names_of(bad)
+    assert formulas.closure({"a": "b + c", "b": "d", "z": "c"}, ["a"]) == {"a", "b", "c", "d"}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("panel", "timeline", "records", "models", "streams", "inputs", "scoring", "populations")
+MODULES = ("panel", "timeline", "records", "models", "streams", "inputs", "scoring", "populations", "macro")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
