@@ -176,3 +176,26 @@ def test_formula_limits_and_growth(spark):
         with pytest.raises(formulas.FormulaError):
             formulas.names_of(bad)
     assert formulas.closure({"a": "b + c", "b": "d", "z": "c"}, ["a"]) == {"a", "b", "c", "d"}
+
+
+def test_nearest_ties_and_repeated_queries(spark):
+    rows = [(i, [1.0, 0.0]) for i in reversed(range(51))]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    found = V.nearest(df, df.where("id in (0, 50)").unionByName(df.where("id = 50")), 3, "id", "v", block=1, chunk=10).collect()
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in found) == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (50, 1, 0), (50, 2, 1), (50, 3, 2)]
+    assert V.nearest(df.limit(0), df.limit(0), 3, "id", "v").collect() == []
+
+
+def test_order_statistics_against_sorting(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(k, rng.choice([rng.randint(0, 30) / 7, rng.random()])) for k in "ab" for _ in range(700)] + [("c", 1.0), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    places = [(n, F.ceil(F.col("_n") * n / 100)) for n in (1, 37, 50, 99)]
+    found = {(r["k"], r["p"]): (r["n"], r["v"]) for r in R.order_statistics(df, ["k"], "x", places, "v", "p").collect()}
+    for k in "abc":
+        xs = sorted(x for j, x in rows if j == k)
+        for n in (1, 37, 50, 99):
+            assert found[k, n] == (len(xs), xs[-(-len(xs) * n // 100) - 1])
+    assert len(found) == 12

@@ -103,11 +103,33 @@ def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, l
     return sums.where(F.col("_sum") >= F.col("_all") * level - 1e-12).groupBy(*keys).agg(F.min(value).alias(name))
 
 
+#: Edges between which an order statistic is looked for.
+EDGES = 500
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, places: list[tuple[int, Column]], name: str, label: str) -> DataFrame:
+    """(keys, n, name, label): per key and labelled place the value at that place of its ascending order; a place may use _n, the key's rows. NULL values take no part.
+
+    Equal values are counted where they are read. Approximate quantiles cut a key's values into buckets,
+    whose counts tell the one that holds the place, and only that one is sorted: no task orders a whole key.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, [k / EDGES for k in range(1, EDGES)], F.lit(10_000)).alias("_e"))
+    cut = counts.join(cuts, keys).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e")
+    w = Window.partitionBy(*keys)
+    sums = cut.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"))
+    sums = sums.withColumn("_n", F.sum("_s").over(w)).withColumn("_before", F.sum("_s").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s"))
+    wanted = sums.select("*", F.explode(F.array(*[F.struct(F.lit(n).alias(label), place.cast("long").alias("_place")) for n, place in places])).alias("_w")).select(*keys, "_b", "_n", "_before", "_s", "_w.*")
+    wanted = wanted.where((F.col("_place") > F.col("_before")) & (F.col("_place") <= F.col("_before") + F.col("_s")))
+    inside = cut.join(wanted, [*keys, "_b"])
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, label).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    inside = inside.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_place")) & (F.col("_upto") - F.col("_c") < F.col("_place")))
+    return inside.select(*keys, F.col("_n").alias("n"), F.col(value).alias(name), label)
+
+
 def order_statistic(df: DataFrame, keys: list[str], value: str, place: Column, name: str) -> DataFrame:
-    """Per key the value at a place of its ascending order; `place` may use _n, the key's rows."""
-    window = Window.partitionBy(*keys)
-    ranked = df.withColumn("_n", F.count(F.lit(1)).over(window)).withColumn("_r", F.row_number().over(window.orderBy(value)))
-    return ranked.where(F.col("_r") == place).select(*keys, F.col("_n").alias("n"), F.col(value).alias(name))
+    """(keys, n, name): the value at one place of each key."""
+    return order_statistics(df, keys, value, [(0, place)], name, "_label").drop("_label")
 
 
 def session_correlation(df: DataFrame, keys: list[str], x: str, y: str, minimum: int) -> DataFrame:
@@ -144,9 +166,9 @@ def conflicting_keys(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def suffix_product(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
-    """The exact product of the values strictly after each row, multiplied in order."""
-    later = Window.partitionBy(*keys).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    return df.withColumn(name, F.aggregate(F.collect_list(value).over(later), F.lit(1.0), lambda a, x: a * x))
+    """The product of the values strictly after each row: a running product from the key's end."""
+    later = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(name, F.coalesce(F.product(value).over(later), F.lit(1.0)))
 
 
 def running_drawdown(df: DataFrame, keys: list[str], order: str, log_return: str) -> DataFrame:

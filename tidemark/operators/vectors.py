@@ -1,8 +1,8 @@
-"""Vector operators: a stated, bounded block of queries is broadcast; all rows are read once for each block."""
+"""Vector operators. A search is one job over a grid: rows are dealt into chunks, queries are sent to every chunk, and a task holds one chunk while queries stream past it."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,75 +10,78 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Queries of a block.
-BLOCK = 4096
-
-
-def _blocks(queries: DataFrame, id_col: str, vector_col: str, block: int) -> Iterator[tuple[list, np.ndarray]]:
-    """The queries in blocks by key range: no more than one block is on the driver at a time."""
-    last = None
-    while True:
-        rows = (queries if last is None else queries.where(F.col(id_col) > last)).select(id_col, vector_col).orderBy(id_col).limit(block).collect()
-        if not rows:
-            return
-        yield [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
-        last = rows[-1][0]
-
-
-def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, id, similarity: the k rows of the largest inner product with each query, itself left out."""
-    spark, out = rows.sparkSession, None
-    for ids, matrix in _blocks(queries, id_col, vector_col, block):
-        shared = spark.sparkContext.broadcast((np.array(ids), matrix))
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            own, m = shared.value
-            for batch in batches:
-                if not len(batch):
+#: Rows of a chunk and queries handled at a time.
+CHUNK, BLOCK = 1 << 14, 4096
+
+
+def _grid(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, extra: str | None, apply: Callable, schema: str, chunk: int, block: int) -> DataFrame:
+    """apply(ids, matrix, extra of a chunk, query ids, query matrix) as a table, for every chunk of rows and block of queries; rows without a vector take no part.
+
+    A query row stands for itself: queries with the same id, or none, are all answered.
+    """
+    kind = dict(rows.dtypes)[id_col]
+    chunks = max(1, -(-rows.count() // chunk))
+    value = F.col(extra).cast("double") if extra else F.lit(0.0)
+    vector = F.col(vector_col).cast("array<double>")
+    a = rows.where(F.col(vector_col).isNotNull()).select(F.pmod(F.xxhash64(id_col, vector_col), F.lit(chunks)).alias("chunk"), F.lit(0).alias("side"), F.col(id_col).alias("id"), vector.alias("x"), value.alias("v"))
+    b = queries.where(F.col(vector_col).isNotNull()).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), F.lit(1).alias("side"), F.col(id_col).cast(kind).alias("id"), vector.alias("x"), F.lit(0.0).alias("v"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        ready, at = None, None
+        for batch in batches:
+            for (number, side), part in batch.groupby(["chunk", "side"], sort=True):
+                if number != at:
+                    held, ready, at = [], None, number
+                if side == 0:
+                    held.append(part)
                     continue
-                names = batch[id_col].to_numpy()
-                scores = m @ np.stack(batch[vector_col].to_numpy()).astype(np.float64).T
-                scores[own[:, None] == names[None, :]] = -np.inf
-                top = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
-                q = np.repeat(np.arange(len(own)), top.shape[1])
-                found = pd.DataFrame({"query_id": own[q], "id": names[top.ravel()], "similarity": scores[q, top.ravel()]})
-                yield found[np.isfinite(found["similarity"])]
-
-        kind = dict(rows.dtypes)[id_col]
-        part = rows.select(id_col, vector_col).where(F.col(vector_col).isNotNull()).mapInPandas(search, f"query_id {kind}, id {kind}, similarity double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, id long, similarity double, rank int")
+                if ready is None and held:
+                    whole = pd.concat(held)
+                    ready, held = (whole["id"].to_numpy(), np.stack(whole["x"].to_numpy()), whole["v"].to_numpy()), []
+                for start in range(0, len(part), block):
+                    some = part.iloc[start : start + block]
+                    if ready is not None:
+                        yield apply(*ready, some["id"].to_numpy(), np.stack(some["x"].to_numpy()))
+
+    return a.unionByName(b).repartition("chunk").sortWithinPartitions("chunk", "side").mapInPandas(run, schema)
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+    """query_id, rank, id, similarity: the k rows of the largest inner product with each query's id, rows of its own id left out; ties go to the smaller id."""
+
+    def search(ids: np.ndarray, matrix: np.ndarray, _: np.ndarray, own: np.ndarray, m: np.ndarray) -> pd.DataFrame:
+        scores = m @ matrix.T
+        scores[own[:, None] == ids[None, :]] = -np.inf
+        found = []
+        for q in range(len(own)):
+            s = scores[q]
+            edge = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+            some = np.flatnonzero((s >= edge) & np.isfinite(s))  # all that tie at the edge, too
+            some = some[np.lexsort((ids[some], -s[some]))][:k]
+            found.append(pd.DataFrame({"query_id": own[q], "id": ids[some], "similarity": s[some]}))
+        return pd.concat(found)
+
+    kind = dict(rows.dtypes)[id_col]
+    # a query that stands there twice is the same question
+    out = _grid(rows, queries.dropDuplicates([id_col]), id_col, vector_col, None, search, f"query_id {kind}, id {kind}, similarity double", chunk, block)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def kernel_regression(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, value_col: str, temperature: float, block: int = BLOCK) -> DataFrame:
-    """query_id, estimate: softmax-weighted mean of the values of all other rows; the partial sums are shifted by the block's bound."""
-    spark, out = rows.sparkSession, None
-    for ids, matrix in _blocks(queries, id_col, vector_col, block):
-        shared = spark.sparkContext.broadcast((np.array(ids), matrix))
+def kernel_regression(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, value_col: str, temperature: float, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+    """query_id, estimate: softmax-weighted mean of the values of all other rows; the chunks' partial sums are shifted by their greatest logit."""
 
-        def weigh(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            own, m = shared.value
-            top, total, value = np.full(len(own), -np.inf), np.zeros(len(own)), np.zeros(len(own))
-            for batch in batches:
-                if not len(batch):
-                    continue
-                logits = m @ np.stack(batch[vector_col].to_numpy()).astype(np.float64).T / temperature
-                logits[own[:, None] == batch[id_col].to_numpy()[None, :]] = -np.inf
-                new = np.maximum(top, logits.max(axis=1))
-                keep = np.where(np.isfinite(top), np.exp(top - np.where(np.isfinite(new), new, 0)), 0)
-                w = np.exp(logits - np.where(np.isfinite(new), new, 0)[:, None])
-                total, value, top = total * keep + w.sum(axis=1), value * keep + w @ batch[value_col].to_numpy(np.float64), new
-            some = np.isfinite(top)
-            yield pd.DataFrame({"query_id": own[some], "top": top[some], "total": total[some], "value": value[some]})
-
-        kind = dict(rows.dtypes)[id_col]
-        part = rows.select(id_col, vector_col, value_col).where(F.col(vector_col).isNotNull()).mapInPandas(weigh, f"query_id {kind}, top double, total double, value double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, estimate double")
+    def weigh(ids: np.ndarray, matrix: np.ndarray, values: np.ndarray, own: np.ndarray, m: np.ndarray) -> pd.DataFrame:
+        logits = m @ matrix.T / temperature
+        logits[own[:, None] == ids[None, :]] = -np.inf
+        top = logits.max(axis=1)
+        some = np.isfinite(top)
+        w = np.exp(logits[some] - top[some, None])
+        return pd.DataFrame({"query_id": own[some], "top": top[some], "total": w.sum(axis=1), "value": w @ values})
+
+    kind = dict(rows.dtypes)[id_col]
+    out = _grid(rows, queries.dropDuplicates([id_col]), id_col, vector_col, value_col, weigh, f"query_id {kind}, top double, total double, value double", chunk, block)
     most = Window.partitionBy("query_id")
     out = out.withColumn("shift", F.exp(F.col("top") - F.max("top").over(most)))
     return out.groupBy("query_id").agg((F.sum(F.col("value") * F.col("shift")) / F.sum(F.col("total") * F.col("shift"))).alias("estimate"))

@@ -16,6 +16,10 @@ from tidemark.plans.panel import KEYS, PANEL_SQL, panel
 from tidemark.session import table
 
 
+#: Rows that a moving average with a decay of a tenth remembers.
+MEMORY = 400
+
+
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three rows of the largest inner product with every 50th vector."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -96,8 +100,10 @@ def cusum_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reliability_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moving averages of a daily signal at two decay rates, folded over each type's ordered days."""
     d = _days(spark, sf_dir).withColumn("up", (F.col("value") > 50).cast("double"))
-    w = Window.partitionBy("event_type").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    fold = lambda rate: F.aggregate(F.collect_list("up").over(w), F.lit(0.5), lambda a, x: a * (1 - rate) + x * rate)
+    w = Window.partitionBy("event_type").orderBy("day")
+    # beyond MEMORY rows a value weighs less than a double's last digit, so that the frame is bounded
+    start = F.when(F.row_number().over(w) <= MEMORY, 0.5).otherwise(0.0)
+    fold = lambda rate: F.aggregate(F.collect_list("up").over(w.rowsBetween(-(MEMORY - 1), 0)), start, lambda a, x: a * (1 - rate) + x * rate)
     return d.select("event_type", "day", F.round(fold(0.1), 9).alias("slow"), F.round(fold(0.5), 9).alias("fast"))
 
 

@@ -6,12 +6,13 @@ target = l_discount - 0.05 and prediction = l_tax - 0.04.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import columns as C
 from tidemark.operators import relational as R
+from tidemark.operators.catalogs import bottom_k
 from tidemark.session import table
 
 
@@ -117,12 +118,7 @@ def long_short_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conformal_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per market the order statistics of the absolute error at k = ceil((n + 1) level) for 80 and 95 percent."""
     rows = panel(spark, sf_dir).withColumn("error", F.round(F.abs(F.col("target") - F.col("prediction")), 9))
-    out = None
-    for level in (80, 95):
-        place = C.ceil_percent(F.col("_n") + 1, level)
-        part = R.order_statistic(rows, ["market"], "error", place, "radius").withColumn("level", F.lit(level))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return R.order_statistics(rows, ["market"], "error", [(level, C.ceil_percent(F.col("_n") + 1, level)) for level in (80, 95)], "radius", "level")
 
 
 def conformal_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,24 +222,33 @@ def leakage_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean absolute rank correlation per feature of a session's values with the target, and with the asset's target a row earlier."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("market"), F.col("l_shipdate").cast("date").alias("session"), "l_orderkey", "l_linenumber", (F.col("l_discount") - 0.05).alias("target"), "l_quantity", "l_extendedprice", "l_tax")
     li = li.withColumn("placebo", F.lag("target").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "session", "target")))
-    long = li.unpivot(["market", "session", "target", "placebo"], ["l_quantity", "l_extendedprice", "l_tax"], "feature", "value")
-    keys = ["feature", "market", "session"]
+    # the targets' ranks don't depend on the feature; the placebo's rows are a part of their own
+    li = li.withColumn("past", F.col("placebo").isNotNull()).withColumn("ry", C.midrank(KEYS, "target")).withColumn("py", C.midrank([*KEYS, "past"], "placebo"))
+    long = li.unpivot([*KEYS, "past", "ry", "py"], ["l_quantity", "l_extendedprice", "l_tax"], "feature", "value")
+    keys = ["feature", *KEYS]
+    long = long.withColumn("rx", C.midrank(keys, "value")).withColumn("px", C.midrank([*keys, "past"], "value"))
 
-    def side(name: str) -> DataFrame:
-        rows = long.where(F.col(name).isNotNull())
-        rows = rows.withColumn("rx", C.midrank(keys, "value")).withColumn("ry", C.midrank(keys, name))
-        return R.session_correlation(rows, keys, "rx", "ry", 4).where("status = 'defined'").groupBy("feature").agg(F.count(F.lit(1)).alias(f"{name}_sessions"), F.round(F.avg(F.abs("correlation")), 7).alias(f"{name}_mean"))
+    def side(x: str, y: str, here: Column, name: str) -> list[Column]:
+        """Sums of the products of ranks that are centred by their known mean."""
+        n = F.count_if(here)
+        middle = (n + 1) / 2.0
+        part = lambda a, b: F.sum(F.when(here, F.col(a) * F.col(b))) - n * middle * middle
+        return [n.alias(f"{name}_n"), part(x, x).alias(f"{name}_xx"), part(y, y).alias(f"{name}_yy"), part(x, y).alias(f"{name}_xy")]
 
-    return side("target").join(side("placebo"), "feature").withColumn("flag", F.col("target_mean") > F.col("placebo_mean") + 0.1)
+    s = long.groupBy(*keys).agg(*side("rx", "ry", F.lit(True), "target"), *side("px", "py", F.col("past"), "placebo"))
+    corr = {n: F.when((F.col(f"{n}_n") >= 4) & (F.col(f"{n}_xx") > 1e-9) & (F.col(f"{n}_yy") > 1e-9), F.col(f"{n}_xy") / F.sqrt(F.col(f"{n}_xx") * F.col(f"{n}_yy"))) for n in ("target", "placebo")}
+    found = s.groupBy("feature").agg(*[x for n, c in corr.items() for x in (F.count(c).alias(f"{n}_sessions"), F.round(F.avg(F.abs(c)), 7).alias(f"{n}_mean"))])
+    return found.withColumn("flag", F.col("target_mean") > F.col("placebo_mean") + 0.1)
 
 
 def extreme_row_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five rows of the largest squared error per market and their share of the market's sum."""
     rows = panel(spark, sf_dir).withColumn("e", F.round(F.pow(F.col("target") - F.col("prediction"), 2), 12))
-    w = Window.partitionBy("market")
-    rows = rows.withColumn("r", F.row_number().over(w.orderBy(F.desc("e"), "l_orderkey", "l_linenumber", "session")))
     total = rows.groupBy("market").agg(F.sum("e").alias("total"))
-    return rows.where("r <= 5").join(F.broadcast(total), "market").select("market", "r", "l_orderkey", "l_linenumber", F.round(F.col("e") / F.col("total"), 9).alias("share"))
+    order = ["l_orderkey", "l_linenumber", "session"]
+    top = bottom_k(rows, ["market"], F.struct((-F.col("e")).alias("e"), *order), 5)
+    top = top.withColumn("r", F.row_number().over(Window.partitionBy("market").orderBy(F.desc("e"), *order)))
+    return top.join(F.broadcast(total), "market").select("market", "r", "l_orderkey", "l_linenumber", F.round(F.col("e") / F.col("total"), 9).alias("share"))
 
 
 def ratio_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,8 +267,9 @@ def ratio_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five customers of each segment in a fixed pseudo-random order."""
     c = table(spark, sf_dir, "customer")
-    r = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(R.hash_order(c, "17", "c_custkey")))
-    return c.select("c_mktsegment", "c_custkey", r.alias("place")).where("place <= 5")
+    h = R.hash_order(c, "17", "c_custkey")
+    r = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(h))
+    return bottom_k(c, ["c_mktsegment"], h, 5).select("c_mktsegment", "c_custkey", r.alias("place"))
 
 
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,15 +14,14 @@ from tidemark.session import table
 def document_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by content hash: the first of each identity is accepted, later ones are rejected as duplicates."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_sha256"))
-    w = Window.partitionBy("content_sha256").orderBy("doc_id")
-    return d.select("doc_id", "content_sha256", F.when(F.row_number().over(w) == 1, "accepted").otherwise("duplicate").alias("state"))
+    first = d.groupBy("content_sha256").agg(F.min("doc_id").alias("first"))  # copies are counted where they are read
+    return d.join(first, "content_sha256").select("doc_id", "content_sha256", F.when(F.col("doc_id") == F.col("first"), "accepted").otherwise("duplicate").alias("state"))
 
 
 def record_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source record hash of a line without its line end, and the identity of (id, language, source)."""
+    """Source record hash of a whole text without its line end, and the identity of (id, language, source)."""
     d = table(spark, sf_dir, "documents")
-    line = F.concat(F.split("text", "\n", 2)[0], F.lit("\r\n"))
-    return d.select("doc_id", C.record_hash(line).alias("record_sha256"), C.identity(F.col("doc_id"), F.col("lang"), F.col("source")).alias("identity_sha256"))
+    return d.select("doc_id", C.record_hash(F.concat(F.col("text"), F.lit("\r\n"))).alias("record_sha256"), C.identity(F.col("doc_id"), F.col("lang"), F.col("source")).alias("identity_sha256"))
 
 
 def token_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +42,16 @@ def contamination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
     if b.count() > 10_000:
         raise R.Refused("more passages than one broadcast holds; take them in blocks")
+    words = F.split("passage", r"\s+")
+    # inside a passage words stand between blanks, in a document that holds it too: its longest inner word finds the candidates
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    b = b.withColumn("anchor", F.when(F.size(words) > 2, F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]))
+    anchors = b.where("anchor is not null").agg(F.collect_set("anchor").alias("anchors"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = d.join(F.broadcast(b), F.contains(d["text"], b["passage"]))
+    some = d.crossJoin(F.broadcast(anchors)).select("doc_id", "text", F.explode(F.array_intersect(F.split("text", r"\s+"), "anchors")).alias("anchor"))
+    hits = some.join(F.broadcast(b), "anchor").where(F.contains("text", "passage")).select("item_id", "doc_id")
+    short = b.where("anchor is null").select("item_id", "passage")
+    hits = hits.unionByName(d.join(F.broadcast(short), F.contains("text", "passage")).select("item_id", "doc_id"))
     return b.select("item_id").join(hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first")), "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first")
 
 
@@ -140,7 +147,7 @@ REGISTERED = {
     "document_identity": (document_identity, "SELECT doc_id, sha256(text) AS content_sha256, CASE WHEN row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1 THEN 'accepted' ELSE 'duplicate' END AS state FROM documents"),
     "record_hashes": (
         record_hashes,
-        """SELECT doc_id, sha256(split_part(text, chr(10), 1)) AS record_sha256, sha256('["' || doc_id || '","' || lang || '","' || source || '"]') AS identity_sha256 FROM documents""",
+        r"""SELECT doc_id, sha256(regexp_replace(text, '[\r\n]+$', '')) AS record_sha256, sha256('["' || doc_id || '","' || lang || '","' || source || '"]') AS identity_sha256 FROM documents""",
     ),
     "token_compare": (
         token_compare,

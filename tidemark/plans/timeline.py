@@ -161,7 +161,9 @@ def periodic_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("event_type", F.col("ts").cast("date").alias("day"), "value")
     days = e.select("event_type", "day").distinct().withColumn("block", F.floor((F.row_number().over(Window.partitionBy("event_type").orderBy("day")) - 1) / 5))
     starts = days.groupBy("event_type", "block").agg(F.min("day").alias("start"))
-    pool = starts.join(e, "event_type").where((F.col("day") < F.col("start")) & (F.col("day") >= F.date_sub("start", 15)))
+    # a start asks for fifteen days, so that the join is one on days and doesn't grow with the span
+    asked = starts.withColumn("day", F.explode(F.sequence(F.date_sub("start", 15), F.date_sub("start", 1))))
+    pool = e.join(asked, ["event_type", "day"])
     found = R.order_statistic(pool, ["event_type", "block"], "value", C.ceil_percent(F.col("_n") + 1, 90), "radius")
     return found.where("n >= 20").select("event_type", "block", "n", "radius")
 

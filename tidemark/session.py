@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +47,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def instants(df: DataFrame, *columns: str) -> DataFrame:
     """The named NTZ columns as TIMESTAMP, which microsecond arithmetic and watermarks need."""
     return df.withColumns({c: F.col(c).cast("timestamp") for c in columns})
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which the driver and all executors share; only a local session may make one of its own.
+
+    It is removed when the driver's JVM ends.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+    return path
