@@ -36,6 +36,10 @@ class OnlineConformal:
         miss = sum(e > used for e in errors) / len(errors)
         self.correction += self.rate * (miss - (1 - self.level))
 
+    def cancel(self) -> None:
+        """The oldest emission retires without an outcome and changes nothing."""
+        self.pending.popleft()
+
 
 class Gate:
     """CUSUM of standardised squared errors; the market's gate opens at the threshold."""
