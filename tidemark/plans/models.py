@@ -255,7 +255,20 @@ WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS D
 c AS (SELECT a.label, a.vec_id, sum(pow(list_distance(a.v, b.v), 2)) AS cost FROM e a JOIN e b ON a.label = b.label GROUP BY ALL)
 SELECT label, arg_min(vec_id, {'c': round(cost, 5), 'i': vec_id}) AS vec_id FROM c GROUP BY ALL""",
     ),
-    "farthest_first": (farthest_first, None),
+    "farthest_first": (
+        farthest_first,
+        """
+WITH c0 AS (SELECT vec_id, embedding AS c FROM embeddings WHERE vec_id = 0),
+d0 AS (SELECT vec_id, embedding, list_sum(list_transform(list_zip(embedding, (SELECT c FROM c0)), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2))) AS d FROM embeddings),
+c1 AS (SELECT vec_id, embedding AS c FROM d0 ORDER BY d DESC, vec_id LIMIT 1),
+d1 AS (SELECT vec_id, embedding, least(d, list_sum(list_transform(list_zip(embedding, (SELECT c FROM c1)), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2)))) AS d FROM d0),
+c2 AS (SELECT vec_id, embedding AS c FROM d1 ORDER BY d DESC, vec_id LIMIT 1),
+d2 AS (SELECT vec_id, embedding, least(d, list_sum(list_transform(list_zip(embedding, (SELECT c FROM c2)), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2)))) AS d FROM d1),
+c3 AS (SELECT vec_id, embedding AS c FROM d2 ORDER BY d DESC, vec_id LIMIT 1),
+d3 AS (SELECT vec_id, embedding, least(d, list_sum(list_transform(list_zip(embedding, (SELECT c FROM c3)), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2)))) AS d FROM d2),
+c4 AS (SELECT vec_id, embedding AS c FROM d3 ORDER BY d DESC, vec_id LIMIT 1)
+SELECT 0 AS place, vec_id FROM c0 UNION ALL SELECT 1 AS place, vec_id FROM c1 UNION ALL SELECT 2 AS place, vec_id FROM c2 UNION ALL SELECT 3 AS place, vec_id FROM c3 UNION ALL SELECT 4 AS place, vec_id FROM c4""",
+    ),
     "formula_panel": (
         formula_panel,
         f"""
@@ -297,10 +310,33 @@ r AS (SELECT event_type, day, p, 0.5 * 0.9::DOUBLE + up * 0.1::DOUBLE AS slow, 0
   UNION ALL SELECT o.event_type, o.day, o.p, r.slow * 0.9::DOUBLE + o.up * 0.1::DOUBLE, r.fast * 0.5::DOUBLE + o.up * 0.5::DOUBLE FROM r JOIN o ON o.event_type = r.event_type AND o.p = r.p + 1)
 SELECT event_type, day, round(slow, 9) AS slow, round(fast, 9) AS fast FROM r""",
     ),
-    "hmm_filter": (hmm_filter, None),
-    "mature_mixture": (mature_mixture, None),
+    "hmm_filter": (
+        hmm_filter,
+        f"""
+WITH RECURSIVE {DAYS}, o AS (SELECT event_type, day, row_number() OVER (PARTITION BY event_type ORDER BY day) AS i, exp(-0.5 * pow((value - 46) / 6, 2)) AS g, exp(-0.5 * pow((value - 54) / 6, 2)) AS h FROM d),
+r AS (SELECT event_type, i, day, h / (g + h) AS p, 0.0::DOUBLE AS change FROM o WHERE i = 1 UNION ALL
+  SELECT o.event_type, o.i, o.day, (0.1 * (1 - p) + 0.9 * p) * h / ((0.9 * (1 - p) + 0.1 * p) * g + (0.1 * (1 - p) + 0.9 * p) * h),
+    1 - 0.9 * ((1 - p) * g + p * h) / ((0.9 * (1 - p) + 0.1 * p) * g + (0.1 * (1 - p) + 0.9 * p) * h) FROM r JOIN o ON o.event_type = r.event_type AND o.i = r.i + 1)
+SELECT event_type, day, round(p, 7) AS high, round(change, 7) AS change FROM r""",
+    ),
+    "mature_mixture": (
+        mature_mixture,
+        f"""
+WITH RECURSIVE {DAYS}, o AS (SELECT event_type, day, row_number() OVER (PARTITION BY event_type ORDER BY day) AS i, least(abs(42 - value) / 10, 1) AS l0, least(abs(50 - value) / 10, 1) AS l1, least(abs(58 - value) / 10, 1) AS l2 FROM d),
+r AS (SELECT event_type, i, day, l0, l1, l2, 0.0::DOUBLE AS r0, 0.0::DOUBLE AS r1, 0.0::DOUBLE AS r2, 0.0::DOUBLE AS c0, 0.0::DOUBLE AS c1, 0.0::DOUBLE AS c2 FROM o WHERE i = 1 UNION ALL
+  SELECT o.event_type, o.i, o.day, o.l0, o.l1, o.l2, n.r0 + g - n.l0, n.r1 + g - n.l1, n.r2 + g - n.l2, n.c0 + abs(g - n.l0), n.c1 + abs(g - n.l1), n.c2 + abs(g - n.l2)
+  FROM (SELECT *, w0 * l0 + w1 * l1 + w2 * l2 AS g FROM (SELECT *, CASE WHEN u0 + u1 + u2 > 0 THEN u0 / (u0 + u1 + u2) ELSE 1 / 3.0 END AS w0, CASE WHEN u0 + u1 + u2 > 0 THEN u1 / (u0 + u1 + u2) ELSE 1 / 3.0 END AS w1, CASE WHEN u0 + u1 + u2 > 0 THEN u2 / (u0 + u1 + u2) ELSE 1 / 3.0 END AS w2 FROM (SELECT *, greatest(0.5 * (exp(pow(greatest(r0 + 1, 0), 2) / (3 * (c0 + 1))) - exp(pow(greatest(r0 - 1, 0), 2) / (3 * (c0 + 1)))), 0) AS u0, greatest(0.5 * (exp(pow(greatest(r1 + 1, 0), 2) / (3 * (c1 + 1))) - exp(pow(greatest(r1 - 1, 0), 2) / (3 * (c1 + 1)))), 0) AS u1, greatest(0.5 * (exp(pow(greatest(r2 + 1, 0), 2) / (3 * (c2 + 1))) - exp(pow(greatest(r2 - 1, 0), 2) / (3 * (c2 + 1)))), 0) AS u2 FROM r))) n JOIN o ON o.event_type = n.event_type AND o.i = n.i + 1)
+SELECT event_type, day, round(w0, 7) AS w0, round(w1, 7) AS w1, round(w2, 7) AS w2 FROM (SELECT *, CASE WHEN u0 + u1 + u2 > 0 THEN u0 / (u0 + u1 + u2) ELSE 1 / 3.0 END AS w0, CASE WHEN u0 + u1 + u2 > 0 THEN u1 / (u0 + u1 + u2) ELSE 1 / 3.0 END AS w1, CASE WHEN u0 + u1 + u2 > 0 THEN u2 / (u0 + u1 + u2) ELSE 1 / 3.0 END AS w2 FROM (SELECT *, greatest(0.5 * (exp(pow(greatest(r0 + 1, 0), 2) / (3 * (c0 + 1))) - exp(pow(greatest(r0 - 1, 0), 2) / (3 * (c0 + 1)))), 0) AS u0, greatest(0.5 * (exp(pow(greatest(r1 + 1, 0), 2) / (3 * (c1 + 1))) - exp(pow(greatest(r1 - 1, 0), 2) / (3 * (c1 + 1)))), 0) AS u1, greatest(0.5 * (exp(pow(greatest(r2 + 1, 0), 2) / (3 * (c2 + 1))) - exp(pow(greatest(r2 - 1, 0), 2) / (3 * (c2 + 1)))), 0) AS u2 FROM r))""",
+    ),
     "portfolio_state": (portfolio_state, None),
-    "leaderboard": (leaderboard, None),
+    "leaderboard": (
+        leaderboard,
+        f"""
+WITH RECURSIVE {DAYS}, o AS (SELECT event_type, day, value, row_number() OVER (PARTITION BY event_type ORDER BY day) AS i FROM d),
+r AS (SELECT event_type, i, day, round_even(value / 0.25, 0) * 0.25::DOUBLE AS best FROM o WHERE i = 1 UNION ALL
+  SELECT o.event_type, o.i, o.day, CASE WHEN o.value < best - 0.25 THEN round_even(o.value / 0.25, 0) * 0.25 ELSE best END FROM r JOIN o ON o.event_type = r.event_type AND o.i = r.i + 1)
+SELECT event_type, day, round(best, 6) AS published FROM r""",
+    ),
     "ridge_fit": (
         ridge_fit,
         """
