@@ -1,6 +1,9 @@
 """Readers, sinks and streams on files made here."""
 
+import hashlib
+import io
 import json
+import zipfile
 from datetime import date, datetime
 
 import pytest
@@ -98,3 +101,64 @@ def test_stateful_stream_equals_the_batch(spark, sf_dir, tmp_path):
             before = sum(by[day]) / len(by[day])
         got = [r["radius"] for r in sorted((r for r in done if r["market"] == market), key=lambda r: r["at"])]
         assert got == pytest.approx(want)
+
+
+def test_records_of_a_file_read_in_many_splits(spark, tmp_path):
+    lines = [b'{"i": %d, "x": "%s"}' % (i, b"y" * (i % 37)) + (b"\r\n" if i % 5 == 0 else b"\n") for i in range(3000)]
+    lines[-1] = lines[-1].rstrip()
+    (tmp_path / "x.jsonl").write_bytes(b"".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = files.read_records(spark, str(tmp_path / "x.jsonl"))
+        found = df.orderBy("ordinal").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["ordinal"] for r in found] == list(range(3000)) and {r["state"] for r in found} == {"accepted"}
+    assert [r["byte_offset"] for r in found] == [sum(map(len, lines[:i])) for i in range(3000)]
+    assert [r["byte_length"] for r in found] == list(map(len, lines))
+    assert [r["raw_sha256"] for r in found[-7:]] == [hashlib.sha256(x).hexdigest() for x in lines[-7:]]
+    assert [r["record_sha256"] for r in found[:7]] == [hashlib.sha256(x.rstrip(b"\r\n")).hexdigest() for x in lines[:7]]
+
+
+def test_arrays_parts_and_release_tables(spark, tmp_path):
+    (tmp_path / "b.json").write_text('[{"code": "1", "assets": 5.0, "odd": 1}, {"code": "2", "assets": null}, {"code": "x", "assets": "n/a"}]')
+    rows, census = files.read_json_array(spark, str(tmp_path / "b.json"), ["code", "assets"])
+    assert rows.columns == ["code", "assets"] and rows.count() == 3
+    assert {r["field"]: (r["rows"], r["present"], r["numbers"]) for r in census.collect()} == {"code": (3, 3, 2), "assets": (3, 2, 1)}
+    (tmp_path / "parts").mkdir()
+    for n in (0, 1):
+        spark.range(3).toPandas().to_parquet(tmp_path / "parts" / f"part-{n:05d}.parquet")
+    assert files.read_parts(spark, str(tmp_path / "parts")).groupBy("part").count().count() == 2
+    spark.range(3).toPandas().to_parquet(tmp_path / "parts" / "part-00003.parquet")
+    with pytest.raises(Refused):
+        files.read_parts(spark, str(tmp_path / "parts"))
+    html = "<p>Released 2024-03-05</p><table><tr><th>Item</th><th>Jan</th><th>Feb</th></tr><tr><td>Retail <b>sales</b></td><td>1.50</td><td>-2</td></tr><tr></tr></table>"
+    pages = spark.createDataFrame([(1, html, date(2024, 3, 7)), (2, html + "2024-03-06", date(2024, 3, 1)), (3, None, None)], "id int, html string, seen date")
+    found = sorted(map(tuple, files.release_tables(pages, "id", "html", r"(\d{4}-\d{2}-\d{2})", "seen").collect()), key=repr)
+    assert found[0] == (1, date(2024, 3, 5), 0, "Retail sales", "Feb", "-2", date(2024, 3, 7)) and len(found) == 4
+    assert all(r[1] is None and r[6] is None for r in found if r[0] == 2)
+
+
+def test_formats(spark):
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a.txt", "x")
+    cases = {"a.csv": (b"x,y\n1,2\n", "valid"), "b.csv": (b"x,y\n1\n", "ragged"), "c.json": (b'{"a": 1, "a": 2}', "invalid"), "d.xml": (b"<a><b/></a>", "valid"), "e.xml": (b"<!DOCTYPE a [<!ENTITY x 'y'>]><a/>", "refused"), "f.zip": (packed.getvalue(), "valid"), "g.xlsx": (packed.getvalue(), "invalid"), "h.zip": (b"PK", "invalid"), "i.pdf": (b"%PDF-1.4 %%EOF", "valid"), "j.bin": (b"", "unknown")}
+    df = spark.createDataFrame([(k, bytearray(v[0])) for k, v in cases.items()], "path string, content binary")
+    assert {r["path"]: r["state"] for r in files.validate_formats(df).collect()} == {k: v[1] for k, v in cases.items()}
+
+
+def test_manifests_cohorts_and_aggregates(spark, tmp_path):
+    a, root = spark.createDataFrame([(1, 0.5), (2, 0.1)], "k int, v double"), f"file://{tmp_path}"
+    digest = P.write_with_manifest(a, f"{root}/tape", {"market": "x"})
+    rows, manifest = P.read_with_manifest(spark, f"{root}/tape")
+    assert rows.count() == 2 and manifest["digest"] == digest and manifest["about"] == {"market": "x"}
+    P.atomic_json(spark, f"{root}/tape/manifest.json", manifest | {"digest": "0"})
+    with pytest.raises(Refused):
+        P.read_with_manifest(spark, f"{root}/tape")
+    receipt = P.write_cohort(a.where("k = 1"), a.where("k = 2"), f"{root}/cohort")
+    assert P.read_json(spark, f"{root}/cohort/receipt.json") == receipt and spark.read.parquet(f"{root}/cohort/excluded").first()["k"] == 2
+    assert P.write_aggregates(a, f"{root}/windows", {"w": 1}) == P.write_aggregates(a.repartition(3), f"{root}/windows", {"w": 1}) != P.write_aggregates(a, f"{root}/windows", {"w": 2})
+    P.write_large(a, f"{root}/large")
+    assert spark.read.parquet(f"{root}/large").count() == 2

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,3 +78,63 @@ def compact(df: DataFrame, keys: list[str], shared_root: str, values_root: str)
 
 def read_compacted(spark: SparkSession, shared: str, values: str) -> DataFrame:
     return spark.read.parquet(shared).join(spark.read.parquet(values), "_row").drop("_row")
+
+
+def atomic_json(spark: SparkSession, path: str, value: object) -> None:
+    """A manifest written beside its place and renamed over it, keys in order, so that a reader sees the old one or the new one."""
+    target, fs = _fs(spark, path)
+    staged, _ = _fs(spark, f"{path}.staged-{uuid.uuid4().hex}")
+    out = fs.create(staged, True)
+    out.write(bytearray(json.dumps(value, sort_keys=True, indent=1).encode()))
+    out.hsync()
+    out.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    if not fs.rename(staged, target):
+        raise Refused(f"{path} can't be published")
+
+
+def read_json(spark: SparkSession, path: str) -> object:
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def write_with_manifest(df: DataFrame, path: str, about: dict | None = None) -> str:
+    """A table under `path`/rows and its manifest: columns, rows, digest and what the caller says of it."""
+    digest = publish(df, f"{path.rstrip('/')}/rows")
+    atomic_json(df.sparkSession, f"{path.rstrip('/')}/manifest.json", {"columns": df.dtypes, "rows": int(digest.split("-")[0]), "digest": digest, "about": about or {}})
+    return digest
+
+
+def read_with_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """(rows, manifest), or Refused if the rows aren't the manifest's."""
+    manifest = read_json(spark, f"{path.rstrip('/')}/manifest.json")
+    df = spark.read.parquet(f"{path.rstrip('/')}/rows")
+    if [list(c) for c in df.dtypes] != manifest["columns"] or content_digest(df) != manifest["digest"]:
+        raise Refused(f"{path} isn't what its manifest says")
+    return df, manifest
+
+
+def write_large(df: DataFrame, path: str) -> None:
+    """A wide table of floats: zstd, large row groups, and no dictionaries but for columns that aren't floats."""
+    writer = df.write.option("compression", "zstd").option("parquet.block.size", str(256 << 20))
+    for name, kind in df.dtypes:
+        if kind in ("float", "double") or "<float>" in kind or "<double>" in kind:
+            writer = writer.option(f"parquet.enable.dictionary#{name}", "false")
+    writer.mode("errorifexists").parquet(path)
+
+
+def write_cohort(accepted: DataFrame, excluded: DataFrame, root: str, about: dict | None = None) -> dict:
+    """Accepted and excluded rows of a cohort, each published once, with a receipt of both."""
+    receipt = {"accepted": publish(accepted, f"{root.rstrip('/')}/accepted"), "excluded": publish(excluded, f"{root.rstrip('/')}/excluded"), "about": about or {}}
+    atomic_json(accepted.sparkSession, f"{root.rstrip('/')}/receipt.json", receipt)
+    return receipt
+
+
+def write_aggregates(df: DataFrame, root: str, identity: dict) -> str:
+    """A window's aggregates under the hash of what they were computed from, read again bit for bit; the same identity is written once."""
+    name = hashlib.sha256(json.dumps(identity, sort_keys=True).encode()).hexdigest()
+    path = f"{root.rstrip('/')}/{name}"
+    digest = publish(df, path)
+    if content_digest(df.sparkSession.read.parquet(path)) != digest:
+        raise Refused(f"{path} isn't what was written")
+    return path

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
+import csv
+import io
 import json
+import re
+import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -72,31 +76,152 @@ def read_records(spark: SparkSession, path: str, max_bytes: int = 1 << 20) -> Da
     """Lines of JSON files as records: ordinal, byte offset and length, hashes, and the state of each.
 
     A line over max_bytes keeps its hash and state but no payload; a line that is no UTF-8 or no JSON
-    object is a record with that state, never dropped.
+    object (or one with a repeated key or NaN) is a record with that state, never dropped. Lines end with a
+    line feed. Files are read by splits: a line's offset is the bytes before it in its split and those of
+    the splits before, so that a file of any size is many tasks.
     """
+    df = spark.read.option("lineSep", "\n").text(path)
+    df = df.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_size").alias("_size"), F.monotonically_increasing_id().alias("_id"))
+    df = df.withColumn("_bytes", F.octet_length("value") + 1)
+    before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = df.groupBy("path", "_block").agg(F.sum("_bytes").alias("_b"), F.count(F.lit(1)).alias("_n"))
+    blocks = blocks.select("path", "_block", F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_offset"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy("path", "_block").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumns({"_o": F.coalesce(F.sum("_bytes").over(inside), F.lit(0)), "_p": F.count(F.lit(1)).over(inside)}).join(blocks, ["path", "_block"])
+    df = df.withColumn("byte_offset", F.col("_offset") + F.col("_o"))
+    ended = F.col("byte_offset") + F.col("_bytes") <= F.col("_size")  # the last line may lack its line feed
+    length = F.when(ended, F.col("_bytes")).otherwise(F.col("_bytes") - 1)
+    raw, value = F.when(ended, F.concat(F.col("value").cast("binary"), F.lit(b"\n"))).otherwise(F.col("value").cast("binary")), F.col("value")
+    valid = F.is_valid_utf8(value)
+    body = F.when(valid, F.rtrim(value, F.lit("\r\n")).cast("binary")).otherwise(F.regexp_replace(value, "\r$", "").cast("binary"))
+    state = F.when(length > max_bytes, "oversize").when(~valid, "invalid_utf8").when(F.try_parse_json(F.when(valid, value)).isNull(), "invalid_json").when(~F.ltrim(value).startswith("{"), "invalid_record").otherwise("accepted")
+    df = df.select("path", (F.col("_first") + F.col("_p")).alias("ordinal"), "byte_offset", length.cast("long").alias("byte_length"), F.sha2(raw, 256).alias("raw_sha256"), F.sha2(body, 256).alias("record_sha256"), state.alias("state"), F.when(valid, F.rtrim(value, F.lit("\r\n"))).alias("payload"))
+    return df.withColumn("payload", F.when(F.col("state") != "oversize", F.col("payload")))
+
+
+def read_json_array(spark: SparkSession, path: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, census) of files that hold one array of objects: the declared fields as text, and per field how many rows have it, are null there or lack a number's form.
+
+    Fields that aren't declared don't become columns, and nothing here is evidence of a publication.
+    """
+    schema = ", ".join(f"`{f}` string" for f in fields)
+    rows = spark.read.schema(schema).option("primitivesAsString", "true").json(path, multiLine=True)
+    long = rows.unpivot([], fields, "field", "text")
+    census = long.groupBy("field").agg(F.count(F.lit(1)).alias("rows"), F.count("text").alias("present"), F.count_if(F.col("text").rlike(C.DECIMAL_PATTERN)).alias("numbers"))
+    return rows, census
+
+
+def read_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """A table of numbered files part-00000.parquet and on, refused if a number is missing or repeated or the files differ in their columns; `part` is the number."""
+    names = [r[0] for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*.parquet").load(folder).select("path").collect()]  # names only, contents aren't read
+    found = sorted(names)
+    numbers = [int(re.search(r"part-(\d+)\.parquet$", n)[1]) for n in found]
+    if not numbers or numbers != list(range(len(numbers))):
+        raise Refused(f"parts are numbered {numbers[:5]}")
+    schemas = {spark.read.parquet(n).schema.simpleString() for n in found}
+    if len(schemas) > 1:
+        raise Refused("the parts' columns differ")
+    number = F.regexp_extract("_metadata.file_name", r"part-(\d+)\.parquet$", 1).cast("int")
+    return spark.read.parquet(*found).select("*", number.alias("part"))
+
+
+class _Tables(HTMLParser):
+    """All tables of a page as rows of cell texts."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.tables: list[list[list[str]]] = []
+        self.cell: list[str] | None = None
+        self.text: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "table":
+            self.tables.append([])
+        elif tag == "tr" and self.tables:
+            self.tables[-1].append([])
+        elif tag in ("td", "th") and self.tables and self.tables[-1]:
+            self.cell = []
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("td", "th") and self.cell is not None:
+            self.tables[-1][-1].append(" ".join("".join(self.cell).split()))
+            self.cell = None
+
+    def handle_data(self, data: str) -> None:
+        self.text.append(data)
+        if self.cell is not None:
+            self.cell.append(data)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def release_tables(pages: DataFrame, id_col: str, html_col: str, declared: str, archived_col: str | None = None) -> DataFrame:
+    """Rows (indicator, period, value as text) of the tables of release pages: the header names periods, the first column indicators.
+
+    `declared` is a pattern whose first group is the page's one publication date (yyyy-mm-dd); none or
+    several different ones leave it NULL. A value is available from the later of that day and the archive's.
+    """
+    kind = dict(pages.dtypes)[id_col]
+    pattern = re.compile(declared)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file, content in zip(batch["path"], batch["content"], strict=True):
-                rows, offset = [], 0
-                for ordinal, raw in enumerate(content.splitlines(keepends=True)):
-                    body, payload, state = raw.rstrip(b"\r\n"), None, "accepted"
-                    if len(raw) > max_bytes:
-                        state = "oversize"
-                    else:
-                        try:
-                            payload = body.decode("utf-8")
-                            if not isinstance(json.loads(payload, parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)), object_pairs_hook=_strict), dict):
-                                state = "invalid_record"
-                        except UnicodeDecodeError:
-                            payload, state = None, "invalid_utf8"
-                        except ValueError:
-                            state = "invalid_json"
-                    rows.append((file, ordinal, offset, len(raw), hashlib.sha256(raw).hexdigest(), hashlib.sha256(body).hexdigest(), state, payload))
-                    offset += len(raw)
-                yield pd.DataFrame(rows, columns=["path", "ordinal", "byte_offset", "byte_length", "raw_sha256", "record_sha256", "state", "payload"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(scan, "path string, ordinal long, byte_offset long, byte_length long, raw_sha256 string, record_sha256 string, state string, payload string")
+            rows = []
+            for key, html in zip(batch[id_col], batch[html_col], strict=True):
+                t = _Tables()
+                t.feed(html or "")
+                dates = set(pattern.findall("".join(t.text)))
+                day = dates.pop() if len(dates) == 1 else None
+                for n, table in enumerate(t.tables):
+                    header = table[0] if table else []
+                    rows += [(key, day, n, line[0], header[i], cell) for line in table[1:] if line for i, cell in enumerate(line) if i and i < len(header)]
+            yield pd.DataFrame(rows, columns=["key", "declared", "table", "indicator", "period", "value"])
+
+    schema = f"key {kind}, declared string, table int, indicator string, period string, value string"
+    found = pages.select(id_col, html_col).mapInPandas(parse, schema).withColumnRenamed("key", id_col).withColumn("declared", F.expr("try_cast(declared AS DATE)"))
+    if archived_col is None:
+        return found.withColumn("available", F.col("declared"))
+    return found.join(pages.select(id_col, F.col(archived_col).alias("_archived")), id_col).withColumn("available", F.when(F.col("declared").isNotNull(), F.greatest("declared", "_archived"))).drop("_archived")
+
+
+#: Bytes that a validator unpacks at most of an archive.
+UNPACKED = 64 << 20
+
+
+def validate_formats(files: DataFrame) -> DataFrame:
+    """path, kind, state, entries of files (path, content): whether they are what their ending says, within bounds: csv, json, xml, zip and xlsx, pdf, png."""
+
+    def one(path: str, content: bytes) -> tuple[str, str, int]:
+        kind = path.rsplit(".", 1)[-1].lower()
+        try:
+            if kind == "csv":
+                rows = list(csv.reader(io.StringIO(content.decode("utf-8-sig"))))
+                return kind, "valid" if rows and len({len(r) for r in rows if r}) == 1 else "ragged", max(0, len(rows) - 1)
+            if kind == "json":
+                found = json.loads(content, object_pairs_hook=_strict)
+                return kind, "valid", len(found) if isinstance(found, list | dict) else 0
+            if kind == "xml":
+                if b"<!ENTITY" in content:
+                    return kind, "refused", 0
+                return kind, "valid", len(list(ElementTree.fromstring(content)))
+            if kind in ("zip", "xlsx"):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    entries = z.infolist()
+                    if sum(e.file_size for e in entries) > UNPACKED:
+                        return kind, "oversize", len(entries)
+                    good = z.testzip() is None and (kind == "zip" or "[Content_Types].xml" in z.namelist())
+                    return kind, "valid" if good else "invalid", len(entries)
+            if kind in ("pdf", "png"):
+                magic = b"%PDF-" if kind == "pdf" else b"\x89PNG\r\n\x1a\n"
+                good = content.startswith(magic) and (kind != "pdf" or b"%%EOF" in content[-1024:])
+                return kind, "valid" if good else "invalid", content.count(b"/Type /Page") if kind == "pdf" else 1
+        except (ValueError, csv.Error, ElementTree.ParseError, zipfile.BadZipFile, RuntimeError):
+            return kind, "invalid", 0
+        return kind, "unknown", 0
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(p, *one(p, c or b"")) for p, c in zip(batch["path"], batch["content"], strict=True)], columns=["path", "kind", "state", "entries"])
+
+    return files.select("path", "content").mapInPandas(check, "path string, kind string, state string, entries long")
 
 
 def _strict(pairs: list[tuple]) -> dict:
