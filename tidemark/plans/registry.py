@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("panel", "timeline", "records", "models", "streams", "inputs", "scoring", "populations", "macro", "resampling", "prices", "catalogs", "replays", "materialised")
+MODULES = ("panel", "timeline", "records", "models", "streams", "inputs", "scoring", "populations", "macro", "resampling", "prices", "catalogs", "replays", "materialised", "compositions")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
