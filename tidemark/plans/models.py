@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -142,9 +144,10 @@ def portfolio_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         book, out = S.Portfolio(1000.0), []
-        for (user, day), part in rows.groupby(["user_id", "day"], sort=True):
-            opens, closes = dict(zip(part.event_type, part.open)), dict(zip(part.event_type, part.close))
-            r = book.session(opens, closes, {a: 20 * int(n) for a, n in zip(part.event_type, part.n)})
+        for (user, day), part in groupby(rows.itertuples(index=False), key=lambda r: (r.user_id, r.day)):  # rows come in order of days
+            some = list(part)
+            opens, closes = {r.event_type: r.open for r in some}, {r.event_type: r.close for r in some}
+            r = book.session(opens, closes, {r.event_type: 20 * int(r.n) for r in some})
             book.orders = {a: 10 if c < 50 else 0 for a, c in closes.items()}
             out.append((int(user), day, round(r["value"], 6), round(r["traded"], 6), round(r["taxes"], 6), int(r["unfilled"])))
         return pd.DataFrame(out, columns=["user_id", "day", "value", "traded", "taxes", "unfilled"])
