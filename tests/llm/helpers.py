@@ -24,4 +24,4 @@ def clashing(df):
     """Extra columns with names that operators may use inside."""
     from pyspark.sql import functions as F
 
-    return df.withColumns({c: F.lit("x") for c in ("id", "fp", "key", "sub", "n", "digest", "keep_id", "group_size", "kept", "component_id", "a", "b", "root", "rank", "score", "start", "length", "part", "line", "chunk", "hash", "spans", "value", "text_sha256", "toxic", "held_out", "tokens")})
+    return df.withColumns({c: F.lit("x") for c in ("id", "fp", "key", "sub", "n", "digest", "keep_id", "group_size", "kept", "component_id", "a", "b", "root", "rank", "score", "start", "length", "part", "line", "chunk", "hash", "spans", "value", "text_sha256", "toxic", "held_out", "tokens", "h", "_h", "_id", "row", "lines", "uid", "place", "found", "_toxicity", "_n", "gone", "all", "sizes", "words", "stops", "marks", "low", "high", "side", "slab", "dim", "tie", "bytes", "first", "wanted", "own", "_gone", "_", "c", "r", "x", "bands", "size", "shingles", "least", "keep", "keep_h", "ids", "seq", "segment", "n_ids", "start_", "doc", "count", "h2")})

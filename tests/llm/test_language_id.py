@@ -88,3 +88,17 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = L.op2_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) > 0.98
+
+
+def test_sample_is_bounded_and_takes_every_label(spark):
+    rows = [(i, f"text number {i} " + "ab " * (i % 9), f"l{i % 90:02d}") for i in range(900)] + [(7, "another text of the same id", "l07")] * 40
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    found = L.sampled(df, docs_each=5).collect()
+    assert len({r["lang"] for r in found}) == 90 and max(r["place"] for r in found) == 5 and len(found) == 450
+    small = L.sampled(df, docs_each=5, model_values=90**2 * 60).collect()
+    per = {}
+    for r in small:
+        per[r["lang"]] = per.get(r["lang"], 0) + len(r["text"])
+    assert len(per) == 90 and all(n <= 60 or sum(r["lang"] == k for r in small) == 1 for k, n in per.items())
+    again = L.sampled(df.repartition(7), docs_each=5).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, found))

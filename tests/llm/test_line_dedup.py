@@ -16,7 +16,22 @@ def _signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-def brute(rows):
+def shortest_runs(lines):
+    """(first, last) of the runs of lines from each with words to where they reach LONG, and on to before the next one's does."""
+    marks = [i for i, x in enumerate(lines) if x.strip(" ")]
+    words = [min(lines[i].count(" ") + 1, L.LONG) for i in marks]
+    n, stops = len(marks), []
+    for k in range(n):
+        total, m = 0, k
+        while m < n and total + words[m] < L.LONG:
+            total += words[m]
+            m += 1
+        stops.append(m)
+    stops.append(n)
+    return {(marks[k], marks[m]) for k in range(n) for m in range(stops[k], max(stops[k], stops[k + 1] - 1) + 1) if m < n}
+
+
+def brute(rows, runs=False):
     """The same rule over Python lists."""
     docs = {}
     for doc_id, text in rows:
@@ -42,6 +57,8 @@ def brute(rows):
                 for k, e in enumerate(ends):
                     if k >= back - 1:
                         spans.add((ends[k - back] + 1 if k >= back else 0, e))
+        if runs:
+            spans |= shortest_runs(lines)
         for a, b in spans:
             body = "\n".join(lines[a : b + 1])
             if (b > a or long[a]) and len(body) >= L.LEAST_CHARS:
@@ -63,7 +80,7 @@ def brute(rows):
 
 def check(df, **more):
     found = [(r["doc_id"], r["text"], r["lines_before"], r["lines_removed"]) for r in L.dedup_lines(df, **more).collect()]
-    assert sorted(found, key=repr) == brute([(r["doc_id"], r["text"]) for r in df.collect()])
+    assert sorted(found, key=repr) == brute([(r["doc_id"], r["text"]) for r in df.collect()], more.get("runs", False))
 
 
 def test_odd_rows(spark):
@@ -135,7 +152,11 @@ def test_long_blocks_of_short_lines_go(spark, sf_dir):
 
 
 def test_documents(spark, sf_dir):
-    check(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    check(df)
+    check(df, runs=True)
+    check(df, runs=True, sent=0)
+    check(documents(spark), runs=True)
 
 
 def test_plan_is_native(spark, sf_dir):

@@ -1,4 +1,5 @@
 import random
+from array import array
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -51,8 +52,7 @@ def test_near_dedup_stage(spark):
     want = survivors(rows)
     assert set(want) <= set(found)
     assert len(found) <= len(want) * 1.02 + 1  # a pair of little over 0.8 is missed with probability 0.006
-    again = simhash.near_duplicates(documents(spark, rows), cap=4)
-    assert again.where("id = keep_id").count() <= len(want) * 1.1 + 1
+    assert kept(spark, rows, 4) == sorted(found, key=repr)
 
 
 def templates(count, words, own, changed, seed):
@@ -129,10 +129,24 @@ def test_stages(spark, sf_dir):
 
 
 def test_run(spark, sf_dir):
+    """Every document's tokens against the stages done one text at a time in plain Python."""
+    from tests.llm.test_line_dedup import brute
+    from tests.llm.test_tokens import BYTE, ids_of
     from tidemark.llm import pipeline as corpus_pipeline
-
-    pieces = corpus_pipeline.run(spark, sf_dir)
-    assert pieces.count() > 0
+    from tidemark.llm import secret_scan
+    from tidemark.llm.encoding import tokenizer_path
+
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.learned_from(spark, table, sf_dir)
+    rows = [(r["doc_id"], r["text"]) for r in table.collect() if float(model.scores([r["text"]])[0]) < 0.5]
+    rows = [(i, text) for i, text, *_ in brute(rows, runs=True)]
+    stay = set(survivors([(i, text, None, None, None) for i, text in rows]))
+    by = secret_scan.prices(tokenizer_path(secret_scan.DICTIONARY))
+    want = {i: ids_of(BYTE, secret_scan.redact(text, by), 0) for i, text in rows if i in stay}
+    found = {}
+    for r in sorted(corpus_pipeline.run(spark, sf_dir).collect(), key=lambda r: r["start"]):
+        found.setdefault(r["doc_id"], []).extend(array("I", bytes(r["ids"])).tolist())
+    assert found == want
 
 
 def test_toxicity_held_out(spark):
@@ -158,3 +172,23 @@ def test_isotonic_is_monotone_and_fits():
     places, values = toxicity.isotonic(x, np.array([0.0, 1, 0, 0, 1, 1]))
     assert (np.diff(values) >= 0).all()
     assert abs(np.interp(2, places, values) - 1 / 3) < 1e-9
+
+
+def test_a_large_group_of_copies_is_one_component_early(spark, monkeypatch):
+    """A key's texts that are one group meet a few of their own, not all of each other: rows grow with the group."""
+    sent = []
+    real = simhash._block_pairs
+
+    def counted(dealt, cap, similarity):
+        out = real(dealt, cap, similarity)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "_block_pairs", counted)
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(8))
+    base = [word() for _ in range(150)]
+    for n in (200, 800):
+        rows = [(i, " ".join(base[:-1] + [word()]), "en", "s", 0) for i in range(n)] + [(n, " ".join(base[:100] + [word() for _ in range(50)]), "en", "s", 0)]
+        assert kept(spark, rows, 20) == survivors(rows)
+    assert sent[1] < 8 * max(sent[0], 800)

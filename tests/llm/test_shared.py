@@ -29,3 +29,31 @@ def test_slices_are_bounded():
     parts = list(_shared.slices(iter([batch])))
     assert sum(p.num_rows for p in parts) == 203
     assert all(p.num_rows <= 90 for p in parts)
+
+
+def test_only_one_owner_keeps_its_cache():
+    from tidemark.llm import _shared as S
+
+    let_go = []
+    S.claim("a", lambda: let_go.append("a"))
+    S.claim("a", lambda: let_go.append("a2"))
+    assert let_go == []
+    S.claim("b", lambda: let_go.append("b"))
+    assert let_go == ["a2"]
+    S._held.clear()
+
+
+def test_slices_of_arrays_keep_order_and_nulls():
+    import pyarrow as pa
+
+    from tidemark.llm import _shared as S
+
+    values = [None if i % 7 == 0 else "x" * (i % 50) for i in range(2000)]
+    sizes = []
+
+    def apply(texts):
+        sizes.append(len(texts))
+        return pa.array([t and t.upper() for t in texts], pa.string())
+
+    assert S.in_slices(pa.array(values), apply, pa.string()).to_pylist() == [v and v.upper() for v in values]
+    assert max(sizes) <= S.SLICE_ROWS and S.in_slices(pa.array([], pa.string()), apply, pa.string()).to_pylist() == []

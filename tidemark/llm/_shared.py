@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -74,17 +76,18 @@ def mapped(df: DataFrame, apply: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return bounded(df).mapInArrow(apply, schema)
 
 
-def _parts(rows: int, nbytes: int, most: int = SLICE_ROWS) -> Iterator[tuple[int, int]]:
+def _parts(rows: int, nbytes: int, most: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """(first, number) of the rows of each piece."""
-    step = max(1, min(most, SLICE_BYTES * rows // max(1, nbytes)))
+    step = max(1, min(most, size * rows // max(1, nbytes)))
     return ((at, step) for at in range(0, rows, step))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str | None = "text", most: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most `most` rows and, but for single rows, about SLICE_BYTES of text."""
+def slices(batches: Iterator[pa.RecordBatch], text: str | None = "text", most: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `most` rows and, but for single rows, about `size` bytes of text."""
     for batch in batches:
-        for at, n in _parts(batch.num_rows, 0 if text is None else batch.column(text).nbytes, most):
+        for at, n in _parts(batch.num_rows, 0 if text is None else batch.column(text).nbytes, most, size):
             yield batch.slice(at, n)
+        pa.default_memory_pool().release_unused()
 
 
 def in_slices(array: pa.Array, apply: Callable[[list], pa.Array], kind: pa.DataType) -> pa.Array:
@@ -95,3 +98,21 @@ def in_slices(array: pa.Array, apply: Callable[[list], pa.Array], kind: pa.DataT
 def signed(value: int) -> int:
     """An unsigned 64-bit value as Spark's LONG."""
     return value - (1 << 64) if value >> 63 else value
+
+
+_held: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, release: Callable[[], None]) -> None:
+    """Says in a Python worker that `owner` keeps something from task to task, and how to let go of it: whatever others hold is released, since workers outlive stages."""
+    others = [k for k in _held if k != owner]
+    for k in others:
+        _held.pop(k)()
+    _held[owner] = release
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library keeps freed memory for itself

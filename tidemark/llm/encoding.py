@@ -20,8 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidemark.llm._shared import claim
+
 #: Units kept by a worker; a unit longer than UNIT_CHARS is encoded each time.
-CACHE, UNIT_CHARS = 1_000_000, 64
+CACHE, UNIT_CHARS = 600_000, 64
 #: Characters that no normaliser composes and whose lower case depends on nothing else.
 _PLAIN = r"[!-~\u00a1-\u012f\u0131-\u02ff]+"
 _SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -31,8 +33,8 @@ _ENDS = ".,"
 #: What ends a unit in a text that is to be cut, and white space whose pre-tokens a cut before each character would tear.
 _CUT = "\0"
 _RUNS = tuple(map("".join, product(" \n", repeat=3)))
-#: Rows of the pieces in which texts are best encoded: the more, the fewer units are new to a piece.
-ROWS = 4096
+#: Rows and bytes of the pieces in which texts are encoded: the more, the fewer units are new to a piece, and the more a worker holds.
+ROWS, PIECE_BYTES = 2048, 4 << 20
 
 _encoders: dict[tuple, UnitEncoder] = {}
 
@@ -150,6 +152,7 @@ class UnitEncoder:
 def encoder(path: str, drops_space: bool, specials: bool = True) -> UnitEncoder:
     """The worker's encoder of that file."""
     key = (path, drops_space, specials)
+    claim(f"encoder {key}", lambda: _encoders.pop(key, None))
     if key not in _encoders:
         _encoders[key] = UnitEncoder(*key)
     return _encoders[key]

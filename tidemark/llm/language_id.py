@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from tidemark.llm._shared import mapped, slices
 
-ORDER, SAMPLE_DOCS, SAMPLE_CHARS, MODEL_VALUES = 5, 300, 200_000, 160_000_000
+ORDER, SAMPLE_DOCS, SAMPLE_CHARS, MODEL_VALUES = 5, 300, 200_000, 64_000_000
 #: Share of a language's held-back documents whose cross-entropy the rejection threshold lets pass.
 ACCEPT = 0.995
 _BASE = 0x9E3779B97F4A7C15

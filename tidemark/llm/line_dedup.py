@@ -159,7 +159,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the removed lines gone from the text column; with `counts`, the columns lines_before and lines_removed (LONG) are added, or replaced if docs has them."""
     seen = repeated(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), sent, runs, hashed)
     # the text goes through the join once
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c != text_col], F.lit(0).alias("_")).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*([docs[c] for c in docs.columns if c != text_col] or [F.lit(0)])).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     marked = _marked(rows, seen)
     shared = _shared(marked, hashed)
     if not shared.isEmpty():

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._shared import mapped, slices
-from tidemark.llm.encoding import ROWS, encoder, tokenizer_path
+from tidemark.llm.encoding import PIECE_BYTES, ROWS, encoder, tokenizer_path
 
 CAPACITY, POOL, END_ID = 1024, 4096, 0
 
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, path: str, drops_space: bool = False, end_id: int = EN
             )
 
         def windows() -> Iterator[list[tuple]]:
-            for piece in slices(batches, most=ROWS):
+            for piece in slices(batches, most=ROWS, size=PIECE_BYTES):
                 for doc_id, data in zip(piece.column("id").to_pylist(), tokenizer.batch(piece.column("text").to_pylist()), strict=True):
                     yield from packer.add((doc_id, len(data) // 4 + 1), data + end)
             yield from packer.rest()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import mapped, slices
+from tidemark.llm._shared import claim, mapped, slices
 from tidemark.llm.encoding import tokenizer_path
 
 MARK = "▁"
@@ -164,6 +164,7 @@ class Pieces:
 
 def pieces(path: str) -> Pieces:
     """The worker's model of that file."""
+    claim(f"pieces {path}", lambda: _models.pop(path, None))
     if path not in _models:
         _models[path] = Pieces(path)
     return _models[path]

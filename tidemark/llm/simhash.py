@@ -211,6 +211,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: Bands of two minimum hashes that deal near-duplicate candidates into shards, and the tree's radius there.
 BANDS, VERIFIED_RADIUS, VERIFIED_CAP = 5, 20, 2000
+#: Texts of a large key that all its other texts are compared with first.
+PIVOTS = 16
 _ODD = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) + 2 * k * k & (1 << 64) - 1 | 1 for k in range(2 * BANDS)], np.uint64)
 
 
@@ -231,24 +233,50 @@ def alike(x: bytes, y: bytes, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
+def _first_blocks(big: DataFrame, cap: int) -> DataFrame:
+    """(key, low, high, side, uid, fp): a large key's texts in blocks of about half the cap, each with the key's PIVOTS first texts beside its own, all to be compared."""
+    count = F.ceil(F.col("n") / max(1, cap // 2)).cast("int")
+    rows = big.select("key", "uid", "fp", count.alias("m"), F.xxhash64("uid").alias("tie")).withColumn("block", F.pmod("tie", "m").cast("int"))
+    near = F.row_number().over(Window.partitionBy("key", "block").orderBy("tie"))
+    few = rows.withColumn("r", near).where(F.col("r") <= PIVOTS).withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("tie"))).where(F.col("r") <= PIVOTS)
+    sent = few.select("key", "uid", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("there")).where("there <> block").select("key", "uid", "fp", F.col("there").alias("block"))
+    both = rows.select("key", "uid", "fp", "block").unionByName(sent)
+    return both.select("key", F.col("block").cast("long").alias("low"), F.col("block").cast("long").alias("high"), F.lit(0).alias("side"), "uid", "fp")
+
+
 def _block_pairs(dealt: DataFrame, cap: int, similarity: float) -> DataFrame:
-    """(key, low, high, side, uid, fp): shards of about `cap` texts in which any two texts of a key whose set sizes allow the similarity meet.
+    """(key, low, high, side, uid, fp): shards of about `cap` texts in which any two texts of a key meet whose set sizes allow the similarity and which aren't both `main`.
 
     A key's texts are dealt by size into buckets so wide that similar texts are in the same or in neighbouring
-    ones, and each bucket into blocks by hash; a shard is a block, or two blocks whose texts are compared across only.
+    ones, each bucket into its main texts, which are known to be one component, and the others, and these into
+    blocks by hash; a shard is a block, or two blocks whose texts are compared across only.
     """
-    dealt = dealt.withColumn("bucket", F.floor(F.log(F.col("size")) / log(1.01 / similarity)))
-    counts = dealt.groupBy("key", "bucket").agg(F.ceil(F.count(F.lit(1)) / max(1, cap // 2)).cast("int").alias("m"))
-    blocks = counts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "m"))).alias("blocks"))
-    code = lambda bucket, block: F.shiftleft(bucket, 32) + block
-    there = lambda step: F.transform(F.array_repeat(F.col("bucket") + step, F.coalesce(F.col("blocks")[F.col("bucket") + step], F.lit(0))), code)
+    dealt = dealt.withColumn("part", 2 * F.floor(F.log(F.col("size")) / log(1.01 / similarity)) + F.when(F.col("main"), 0).otherwise(1))
+    counts = dealt.groupBy("key", "part").agg(F.ceil(F.count(F.lit(1)) / max(1, cap // 2)).cast("int").alias("m"))
+    blocks = counts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("part", "m"))).alias("blocks"))
+    code = lambda part, block: F.shiftleft(part, 32) + block
+    first = 2 * F.floor(F.col("part") / 2)  # of the own bucket
+
+    def there(step: int, other: int) -> Column:
+        part = (first + 2 * step + other).cast("long")
+        many = F.when(F.col("main") & F.lit(other == 0), 0).otherwise(F.coalesce(F.col("blocks")[part], F.lit(0)))
+        return F.transform(F.array_repeat(part, many), code)
+
     rows = hot_join(dealt, written(blocks, "blocks"), "key")
-    rows = rows.withColumn("own", code(F.col("bucket"), F.pmod(F.xxhash64("uid"), F.col("blocks")[F.col("bucket")])))
-    rows = rows.select("key", "uid", "fp", "own", F.explode(F.concat(*[there(step) for step in (-1, 0, 1)])).alias("other"))
+    rows = rows.withColumn("own", code(F.col("part"), F.pmod(F.xxhash64("uid"), F.col("blocks")[F.col("part")])))
+    rows = rows.select("key", "uid", "fp", "own", F.explode(F.concat(*[there(step, other) for step in (-1, 0, 1) for other in (0, 1)])).alias("other"))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     return rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side.alias("side"), "uid", "fp")
 
 
+def _with_main(big: DataFrame, roots: DataFrame) -> DataFrame:
+    """big with `main`: whether a text is in the largest component that its key's texts have so far."""
+    known = big.join(roots.select(F.col("a").alias("uid"), "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    known = written(known, "known")
+    main = known.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("top"))
+    return hot_join(known, written(main, "main"), "key").withColumn("main", F.col("root") == F.col("top"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, cap: int = VERIFIED_CAP) -> DataFrame:
     """(id, h, keep_id, keep_h) of every distinct (doc_id, text hash): the row of its group that stays, the smallest (null last).
 
@@ -258,8 +286,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     minimum hashes of the shingles, of which two texts at 0.8 share one of five with probability 0.994;
     within a shard the BK-tree proposes fingerprints within VERIFIED_RADIUS bits, nearest first. The
     fingerprint is of the distinct shingles here, since the similarity doesn't count repeats either.
-    A shard of more than `cap` texts is compared whole, as pairs of blocks of its texts, so that its
-    size decides no link.
+    A key of more than `cap` texts is compared in blocks and with PIVOTS of its texts first, which makes
+    one component of a group of copies, however large; only texts outside the key's largest component
+    are then compared with all others, as pairs of blocks, so that a key's size decides no link.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,12 +320,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = texts.select("uid", "fp", "size", F.explode("bands").alias("key"))
     sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     dealt = written(dealt.join(sizes, "key"), "shards")
-    whole = dealt.where(F.col("n") <= cap).select("key", *[F.lit(0).cast("long").alias(c) for c in ("low", "high")], F.lit(0).alias("side"), "uid", "fp")
-    shards = whole.unionByName(_block_pairs(dealt.where(F.col("n") > cap), cap, similarity))
     sets = signs.groupBy("uid").agg(F.min("shingles").alias("shingles")).join(dealt.select("uid").distinct(), "uid", "left_semi")
-    shards = shards.join(sets, "uid").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "uid")
-    links = mapped(shards.select("key", "low", "high", "side", "uid", "fp", "shingles"), search, "a long, b long")
-    roots = written(components(links), "roots")
+
+    def linked(shards: DataFrame) -> DataFrame:
+        rows = shards.join(sets, "uid").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "uid")
+        return mapped(rows.select("key", "low", "high", "side", "uid", "fp", "shingles"), search, "a long, b long")
+
+    whole = dealt.where(F.col("n") <= cap).select("key", *[F.lit(0).cast("long").alias(c) for c in ("low", "high")], F.lit(0).alias("side"), "uid", "fp")
+    big = dealt.where(F.col("n") > cap)
+    if big.isEmpty():
+        roots = written(components(linked(whole)), "roots")
+    else:
+        first = written(linked(whole.unionByName(_first_blocks(big, cap))), "links")
+        known = _with_main(big, components(first))
+        roots = written(components(first.unionByName(linked(_block_pairs(known, cap, similarity)))), "roots")
     place = F.struct(F.col("id").isNull().alias("null"), "id", "h")
     # texts to their groups, then groups to the row that stays; both ways a large group's rows are spread
     own = signs.groupBy("uid").agg(F.min(place).alias("least")).join(roots, F.col("uid") == F.col("a"), "left")

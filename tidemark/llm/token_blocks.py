@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._shared import mapped, slices, written
-from tidemark.llm.encoding import ROWS, encoder, tokenizer_path
+from tidemark.llm.encoding import PIECE_BYTES, ROWS, encoder, tokenizer_path
 
 BLOCK, PERCENTILE, SEGMENT_IDS, END_ID = 256, 90, 1 << 16, 1
 #: Blocks that are packed or unpacked at a time, however long a text is.
@@ -183,7 +183,7 @@ def write_tokens(docs: DataFrame, path: str, drops_space: bool = True, end_id: i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = encoder(path, drops_space), np.array([end_id], "<u4").tobytes()
-        for piece in slices(batches, most=ROWS):
+        for piece in slices(batches, most=ROWS, size=PIECE_BYTES):
             ids = [np.frombuffer(data + end, "<u4").astype(kind).tobytes() for data in tokenizer.batch(piece.column("text").to_pylist())]
             part = part_of(piece.column("key").to_numpy(), piece.column("h").to_numpy(), bounds)
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(piece.column(c) for c in ("key", "id", "h")), pa.array(ids, pa.binary())], names=["part", "key", "id", "h", "ids"])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import bounded, in_slices, mapped, slices
+from tidemark.llm._shared import bounded, claim, in_slices, mapped, slices
 
 SAMPLE, LEXICON, LEAST_DOCS = 15_000, 600, 4
 TREES, DEPTH, RATE, BINS, LEAF = 120, 3, 0.1, 64, 10
@@ -260,6 +260,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "to
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LEXICON and TREES
 
     def apply(batches):
+        claim("toxicity", shared.value.features.memo.clear)
         for batch in batches:
             yield in_slices(batch, lambda texts: pa.array(shared.value.scores(texts), pa.float64()), pa.float64())
 
