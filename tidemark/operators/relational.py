@@ -104,7 +104,7 @@ def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, l
 
 
 #: Edges between which an order statistic is looked for.
-EDGES = 500
+EDGES = 64
 
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, places: list[tuple[int, Column]], name: str, label: str) -> DataFrame:
