@@ -58,6 +58,15 @@ def test_blocks_round_trip(n, high):
         assert (one == ids[2 * k : 3 * k]).all()
 
 
+@pytest.mark.parametrize("width", range(1, 33))
+def test_widths(width):
+    values = np.random.default_rng(width).integers(0, 1 << width, (5, token_blocks.BLOCK), dtype=np.uint64).astype(np.uint32)
+    packed = token_blocks._pack(values, width)
+    assert packed.shape == (5, token_blocks.BLOCK * width // 8) and (token_blocks._unpack(packed, width) == values).all()
+    bits = "".join(f"{b:08b}"[::-1] for b in packed[0].tobytes())  # the first value in the lowest bits
+    assert [int(bits[i * width : (i + 1) * width][::-1], 2) for i in range(64)] == values[0, :64].tolist()
+
+
 def test_outliers_are_exceptions():
     ids = np.full(token_blocks.BLOCK, 3, np.uint32)
     ids[5] = 1 << 30

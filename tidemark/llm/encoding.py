@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from tidemark.llm._shared import claim
 
 #: Units kept by a worker; a unit longer than UNIT_CHARS is encoded each time.
-CACHE, UNIT_CHARS = 600_000, 64
+CACHE, UNIT_CHARS = 1_000_000, 64
 #: Characters that no normaliser composes and whose lower case depends on nothing else.
 _PLAIN = r"[!-~\u00a1-\u012f\u0131-\u02ff]+"
 _SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -33,8 +33,8 @@ _ENDS = ".,"
 #: What ends a unit in a text that is to be cut, and white space whose pre-tokens a cut before each character would tear.
 _CUT = "\0"
 _RUNS = tuple(map("".join, product(" \n", repeat=3)))
-#: Rows and bytes of the pieces in which texts are encoded: the more, the fewer units are new to a piece, and the more a worker holds.
-ROWS, PIECE_BYTES = 2048, 4 << 20
+#: Rows of the pieces in which texts are best encoded: the more, the fewer units are new to a piece.
+ROWS = 4096
 
 _encoders: dict[tuple, UnitEncoder] = {}
 
@@ -43,15 +43,19 @@ class UnitEncoder:
     """path: a tokenizer's JSON file. drops_space: its pre-tokenizer drops white space; else a unit keeps what stands before it.
 
     The strings of special tokens in a text are these tokens unless specials is unset, which makes them ordinary text.
+    cache: units kept, CACHE by default; fewer where a worker shares its memory with more.
     """
 
-    def __init__(self, path: str, drops_space: bool, specials: bool = True) -> None:
+    def __init__(self, path: str, drops_space: bool, specials: bool = True, cache: int | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not specials
         self.drops_space = drops_space
+        self.limit = cache or CACHE
+        #: Bytes of the pieces in which texts are best encoded: what a piece makes stays in proportion to what is kept.
+        self.piece = 8 * self.limit
         self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if specials else []
         self.young: dict[str, bytes] = {"": b""}
         self.elder: dict[str, bytes] = {}
@@ -84,57 +88,54 @@ class UnitEncoder:
             return _CUT.join(_SPACED.findall(text))
         return text.replace(" ", _CUT + " ").replace("\n", _CUT + "\n")
 
-    def _learn(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
-        joined, alone = [], []
-        for u in units:
-            (joined if self.plain.fullmatch(u) else alone).append(u)
+    def _learn(self, joined: list[str], alone: list[str]) -> dict[str, bytes]:
+        """The ids of units; those of plain ones are encoded a thousand in one text, where the bytes that the ids stand for tell where a unit ends."""
+        out: dict[str, bytes] = {}
         for at in range(0, len(joined), 1000):
-            # all in one text: the bytes that the ids stand for tell where a unit ends
             some = joined[at : at + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast([self.glue.join(some)], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.cumsum(self.bytes_of[ids])
-            ends = np.cumsum([len(u.lower().encode()) if self.drops_space else len(u.encode()) for u in some])
+            ends = np.cumsum([len(u) if u.isascii() else len(u.encode()) for u in some])
             last = np.searchsorted(stops, ends)
             if len(stops) == 0 or stops[-1] != ends[-1] or (stops[last] != ends).any():
-                alone += some
+                alone = alone + some
                 continue
-            data, start = ids.tobytes(), 0
-            for u, stop in zip(some, ((last + 1) * 4).tolist(), strict=True):
-                yield u, data[start:stop]
-                start = stop
+            data, cuts = ids.tobytes(), [0, *((last + 1) * 4).tolist()]
+            out.update(zip(some, [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
         if alone:
-            for u, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-                yield u, array("I", e.ids).tobytes()
+            out.update((u, array("I", e.ids).tobytes()) for u, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True))
+        return out
 
     def _found(self, units: list[str]) -> list[bytes]:
         """The ids of distinct units; of those that end in a mark after a letter, where a pre-token always ends, the rest's and the mark's."""
-        if len(self.young) > CACHE // 2:
+        if len(self.young) > self.limit // 2:
             self.young, self.elder = {"": b""}, self.young
-        young, elder = self.young, self.elder
+        young, elder, plain = self.young, self.elder, self.plain.fullmatch
         out = list(map(young.get, units))
-        new, ended = [], []
-        for k, ids in enumerate(out):
-            if ids is None:
-                u = units[k]
-                ids = out[k] = elder.get(u)
-                if ids is not None:
-                    young[u] = ids
-                elif u[-1] in _ENDS and u[-2:-1].isalpha() and self.plain.fullmatch(u):
-                    ended.append(k)
-                else:
-                    new.append(k)
-        stems = {units[k][:-1] for k in ended}
-        stems = [s for s in stems if s not in young and s not in elder]
-        learned = dict(self._learn(list({units[k] for k in new}.union(stems))))
-        for k in new:
-            out[k] = learned[units[k]]
-        for k in ended:
+        joined, alone, ended = [], [], []
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        for k in missing:
             u = units[k]
-            stem = learned.get(u[:-1])
-            if stem is None:
-                stem = young[u[:-1]] if u[:-1] in young else elder[u[:-1]]
-            out[k] = learned[u] = stem + self.ends[u[-1]]
-        young.update(learned if all(len(u) <= UNIT_CHARS for u in learned) else {u: ids for u, ids in learned.items() if len(u) <= UNIT_CHARS})
+            ids = elder.get(u)
+            if ids is not None:
+                young[u] = out[k] = ids
+            elif not plain(u):
+                alone.append(u)
+            elif u[-1] in _ENDS and u[-2:-1].isalpha():
+                ended.append(u)
+            else:
+                joined.append(u)
+        stems = {u[:-1] for u in ended}.difference(joined)
+        joined += [s for s in stems if s not in young and s not in elder]
+        learned = self._learn(joined, alone)
+        for u in ended:
+            s = u[:-1]
+            ids = learned.get(s) or young.get(s) or elder[s]
+            learned[u] = ids + self.ends[u[-1]]
+        for k in missing:
+            if out[k] is None:
+                out[k] = learned[units[k]]
+        young.update(learned if max(map(len, learned), default=0) <= UNIT_CHARS else {u: ids for u, ids in learned.items() if len(u) <= UNIT_CHARS})
         return out
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -149,9 +150,9 @@ class UnitEncoder:
             yield self.whole(text) if marked[k] is None else bytes(ids[stops[k] : stops[k + 1]])
 
 
-def encoder(path: str, drops_space: bool, specials: bool = True) -> UnitEncoder:
+def encoder(path: str, drops_space: bool, specials: bool = True, cache: int | None = None) -> UnitEncoder:
     """The worker's encoder of that file."""
-    key = (path, drops_space, specials)
+    key = (path, drops_space, specials, cache)
     claim(f"encoder {key}", lambda: _encoders.pop(key, None))
     if key not in _encoders:
         _encoders[key] = UnitEncoder(*key)

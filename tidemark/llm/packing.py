@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._shared import mapped, slices
-from tidemark.llm.encoding import PIECE_BYTES, ROWS, encoder, tokenizer_path
+from tidemark.llm.encoding import ROWS, encoder, tokenizer_path
 
 CAPACITY, POOL, END_ID = 1024, 4096, 0
 
@@ -120,11 +120,11 @@ class Packer:
                 yield out
 
 
-def pack(docs: DataFrame, path: str, drops_space: bool = False, end_id: int = END_ID, capacity: int = CAPACITY, pool: int = POOL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, drops_space: bool = False, end_id: int = END_ID, capacity: int = CAPACITY, pool: int = POOL, id_col: str = "doc_id", text_col: str = "text", cache: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary, little-endian unsigned 32-bit)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, packer = encoder(path, drops_space), Packer(capacity, pool)
+        tokenizer, packer = encoder(path, drops_space, cache=cache), Packer(capacity, pool)
         sequence, end, rows = TaskContext.get().partitionId() << 33, np.array([end_id], "<u4").tobytes(), []
 
         def batch() -> pa.RecordBatch:
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, path: str, drops_space: bool = False, end_id: int = EN
             )
 
         def windows() -> Iterator[list[tuple]]:
-            for piece in slices(batches, most=ROWS, size=PIECE_BYTES):
+            for piece in slices(batches, most=ROWS, size=tokenizer.piece):
                 for doc_id, data in zip(piece.column("id").to_pylist(), tokenizer.batch(piece.column("text").to_pylist()), strict=True):
                     yield from packer.add((doc_id, len(data) // 4 + 1), data + end)
             yield from packer.rest()

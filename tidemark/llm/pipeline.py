@@ -16,6 +16,10 @@ from tidemark.llm._shared import written
 from tidemark.llm.encoding import tokenizer_path
 
 
+#: Units that a worker's encoder keeps here, where other stages have filled the executors' memory.
+UNITS = 500_000
+
+
 def _resized(docs: DataFrame) -> DataFrame:
     """docs with n_chars as the text has it now."""
     return docs.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast("long")) if "n_chars" in docs.columns else docs
@@ -47,7 +51,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of 1024 tokens, with their ids."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), cache=UNITS)
 
 
 STAGES = [

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._shared import mapped, slices, written
-from tidemark.llm.encoding import PIECE_BYTES, ROWS, encoder, tokenizer_path
+from tidemark.llm.encoding import ROWS, encoder, tokenizer_path
 
 BLOCK, PERCENTILE, SEGMENT_IDS, END_ID = 256, 90, 1 << 16, 1
 #: Blocks that are packed or unpacked at a time, however long a text is.
@@ -51,6 +51,8 @@ def _bit_length(x: np.ndarray) -> np.ndarray:
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of BLOCK values under 2**width as rows of BLOCK * width / 8 bytes: of each 64 values `width` words, the first value in the lowest bits."""
+    if width in (8, 16, 32):  # whole bytes stand there as they are
+        return values.astype(f"<u{width // 8}").view(np.uint8).reshape(len(values), -1)
     lanes = np.ascontiguousarray(values.reshape(-1, 64).T.astype(np.uint64))
     words = np.zeros((width, lanes.shape[1]), np.uint64)
     for k in range(64):
@@ -62,6 +64,8 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _unpack(rows: np.ndarray, width: int) -> np.ndarray:
+    if width in (8, 16, 32):
+        return np.ascontiguousarray(rows).view(f"<u{width // 8}").astype(np.uint32)
     words = np.ascontiguousarray(np.ascontiguousarray(rows).view("<u8").reshape(-1, width).T)
     lanes = np.empty((64, words.shape[1]), np.uint64)
     for k in range(64):
@@ -183,7 +187,7 @@ def write_tokens(docs: DataFrame, path: str, drops_space: bool = True, end_id: i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = encoder(path, drops_space), np.array([end_id], "<u4").tobytes()
-        for piece in slices(batches, most=ROWS, size=PIECE_BYTES):
+        for piece in slices(batches, most=ROWS, size=tokenizer.piece):
             ids = [np.frombuffer(data + end, "<u4").astype(kind).tobytes() for data in tokenizer.batch(piece.column("text").to_pylist())]
             part = part_of(piece.column("key").to_numpy(), piece.column("h").to_numpy(), bounds)
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(piece.column(c) for c in ("key", "id", "h")), pa.array(ids, pa.binary())], names=["part", "key", "id", "h", "ids"])
