@@ -107,7 +107,6 @@ def test_passages_go_and_clean_documents_stay(spark):
     rows, shared, para = passages()
     df = documents(spark, rows)
     check(df)
-    check(df, sent=0)  # the other way, for many repeated chunks
     found = {r["doc_id"]: r for r in L.dedup_lines(df).collect()}
     assert all(found[i]["text"] == rows[i][1] for i in range(60) if i % 3 == 2)
     assert sum(para in found[i]["text"] for i in range(60)) == 1
@@ -137,7 +136,7 @@ def test_short_passages_go_wherever_they_stand(spark, sf_dir):
     rows, left = planted([2, 3, 4] * 12, 50, 4)
     found = corpus_pipeline.drop_lines(spark, documents(spark, rows), sf_dir).collect()
     assert {r["doc_id"]: r["text"] for r in found} == left
-    found = L.dedup_lines(documents(spark, rows), sent=0, runs=True).collect()
+    found = L.dedup_lines(documents(spark, rows), runs=True).collect()
     assert {r["doc_id"]: r["text"] for r in found} == left
 
 
@@ -155,7 +154,6 @@ def test_documents(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     check(df)
     check(df, runs=True)
-    check(df, runs=True, sent=0)
     check(documents(spark), runs=True)
 
 

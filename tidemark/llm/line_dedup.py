@@ -17,7 +17,6 @@ being aggregated where they are read. A chunk with a line whose hash another lin
 unless no such line is in it. The first place where a line stands is in no removed chunk, so no
 line is lost altogether. Chunks of fewer than LEAST_CHARS characters, such as blank lines, stay.
 
-The hashes of repeated chunks are broadcast only if there are at most SENT of them, and joined otherwise.
 A null text stays null and an empty one empty; a null doc_id counts as the smallest; rows with the
 same doc_id and text are one document, each of whose rows gets the same result.
 """
@@ -29,13 +28,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import hot_join, written
+from tidemark.llm._shared import drop_written, hot_join, written
 
 WINDOWS, LONG, LEAST_CHARS = (1, 2), 50, 40
 #: Lines that are looked at first for where a run reaches LONG words; where they don't, LONG lines are.
 FEW = 6
-#: Hashes of repeated chunks that are broadcast at most (8 bytes each).
-SENT = 1_000_000
 
 
 def _numbered(array: Column) -> Column:
@@ -116,20 +113,20 @@ def _part(array: Column, place: Column) -> Column:
     return F.slice(array, _start(place) + 1, _stop(place) - _start(place) + 1)
 
 
-def repeated(docs: DataFrame, sent: int = SENT, runs: bool = False, hashed: Callable[[Column], Column] = line_hash) -> DataFrame:
+def repeated(docs: DataFrame, runs: bool = False, hashed: Callable[[Column], Column] = line_hash) -> DataFrame:
     """(id, h, chunk, place, part) of the chunks whose hash occurs again; part is the chunk's line hashes."""
     cut = written(chunked(docs, runs, hashed), "chunks")
     common = written(cut.select(F.explode("chunks.chunk").alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk"), "common")
-    # what a row needs is put together before the arrays are exploded: a row that took the hashes along would copy them for every chunk
-    whole = lambda chunks: F.explode(F.transform(chunks, lambda c: F.struct(c["chunk"].alias("chunk"), c["place"].alias("place"), _part(F.col("hashes"), c["place"]).alias("part")))).alias("c")
-    if common.count() <= sent:
-        seen = cut.select("id", "h", whole("chunks")).select("id", "h", "c.*").join(F.broadcast(common), "chunk", "left_semi")
-    else:
-        bare = cut.select("id", "h", F.explode("chunks").alias("c")).select("id", "h", "c.*").join(common, "chunk", "left_semi")
-        wanted = bare.groupBy("id", "h").agg(F.collect_set(F.struct("chunk", "place")).alias("wanted"))
-        own = cut.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "hashes").dropDuplicates(["_id", "_h"])
-        seen = wanted.join(own, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("id", "h", whole("wanted")).select("id", "h", "c.*")
-    return written(seen, "repeated")
+    bare = cut.select("id", "h", F.explode("chunks").alias("c")).select("id", "h", "c.*").join(common, "chunk", "left_semi")
+    # their line hashes come from the documents, once for all places of one: with every place they would weigh as much as the texts
+    wanted = bare.groupBy("id", "h").agg(F.collect_set(F.struct("chunk", "place")).alias("wanted"))
+    own = cut.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "hashes").dropDuplicates(["_id", "_h"])
+    whole = F.transform("wanted", lambda c: F.struct(c["chunk"].alias("chunk"), c["place"].alias("place"), _part(F.col("hashes"), c["place"]).alias("part")))
+    seen = wanted.join(own, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("id", "h", F.explode(whole).alias("c")).select("id", "h", "c.*")
+    seen = written(seen, "repeated")
+    drop_written(cut)
+    drop_written(common)
+    return seen
 
 
 def _marked(rows: DataFrame, seen: DataFrame) -> DataFrame:
@@ -140,7 +137,9 @@ def _marked(rows: DataFrame, seen: DataFrame) -> DataFrame:
     marks = same.unionByName(first.select("first.*", F.lit(None).cast("long").alias("gone"))).groupBy("id", "h").agg(F.collect_set("gone").alias("gone"), F.collect_set("place").alias("all"))
     marks = marks.withColumnsRenamed({"id": "_id", "h": "_h"})
     joined = rows.join(marks, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
-    return written(joined.select("row", "text", F.when(F.size("gone") > 0, F.col("gone")).alias("gone"), "all"), "marked")
+    marked = written(joined.select("row", "text", F.when(F.size("gone") > 0, F.col("gone")).alias("gone"), "all"), "marked")
+    drop_written(first)
+    return marked
 
 
 def _shared(marked: DataFrame, hashed: Callable[[Column], Column]) -> DataFrame:
@@ -155,9 +154,9 @@ def _lines(places: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(_start(p), _stop(p)))))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent: int = SENT, runs: bool = False, counts: bool = True, hashed: Callable[[Column], Column] = line_hash) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False, counts: bool = True, hashed: Callable[[Column], Column] = line_hash) -> DataFrame:
     """docs with the removed lines gone from the text column; with `counts`, the columns lines_before and lines_removed (LONG) are added, or replaced if docs has them."""
-    seen = repeated(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), sent, runs, hashed)
+    seen = repeated(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), runs, hashed)
     # the text goes through the join once
     rows = docs.select(F.struct(*([docs[c] for c in docs.columns if c != text_col] or [F.lit(0)])).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     marked = _marked(rows, seen)
@@ -165,6 +164,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not shared.isEmpty():
         spoiled = seen.select("chunk", F.explode("part").alias("line")).join(shared, "line", "left_semi").select("chunk").distinct()
         marked = _marked(rows, seen.join(spoiled, "chunk", "left_anti"))
+    drop_written(seen)
     lines = F.split("text", "\n", -1)
     numbered = marked.withColumn("gone", _lines(F.col("gone"))).withColumn("lines", F.when(F.col("gone").isNotNull(), lines))
     numbered = numbered.withColumn("kept", F.array_except(_numbered(F.col("lines")), F.col("gone")))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm._shared import hot_join, mapped, signed, slices, written
+from tidemark.llm._shared import drop_written, hot_join, mapped, signed, slices, written
 from tidemark.llm.components import components
 
 SEED = 42
@@ -334,6 +334,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         first = written(linked(whole.unionByName(_first_blocks(big, cap))), "links")
         known = _with_main(big, components(first))
         roots = written(components(first.unionByName(linked(_block_pairs(known, cap, similarity)))), "roots")
+        drop_written(first)
+    drop_written(dealt)
     place = F.struct(F.col("id").isNull().alias("null"), "id", "h")
     # texts to their groups, then groups to the row that stays; both ways a large group's rows are spread
     own = signs.groupBy("uid").agg(F.min(place).alias("least")).join(roots, F.col("uid") == F.col("a"), "left")
