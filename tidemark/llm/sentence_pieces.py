@@ -94,32 +94,18 @@ class Pieces:
         packed = self.packed
         return b"".join([packed[p] if p in packed else array("I", [self.byte_ids[b] for b in p.encode()]).tobytes() for p in pieces])
 
-    def _best(self, word: str, i: int, last: list[str], forward: list[float], merges: bool) -> tuple[float, str]:
-        """The best path's score to the prefix of i characters, and its last piece ("": none)."""
-        ends, scores, pairs = self.ends, self.scores, self.pairs
-        best, chosen = -math.inf, ""
-        for start in range(i - 1, -1, -1):
+    def _best(self, word: str, i: int, last: list[str], forward: list[float]) -> tuple[float, str]:
+        """The best path's score to the prefix of i characters, and its last piece, where no piece is compatible: over all that end there."""
+        found = []
+        for start in range(i):
             piece = word[start:i]
-            score = scores.get(piece)
-            if score is None:
-                if start == i - 1:
-                    score = self.unknown
-                elif piece not in ends:  # nor does a longer piece end so
-                    break
-                else:
-                    continue
-            score += forward[start]
-            if score > best:
-                if merges:
-                    key = (last[start], piece)
-                    fits = pairs.get(key)
-                    if not (self.follows(*key) if fits is None else fits):
-                        continue
-                best, chosen = score, piece
-        return best, chosen
+            if piece in self.scores or start == i - 1:
+                found.append((forward[start] + self.scores.get(piece, self.unknown), piece))
+        return max(found, key=lambda x: x[0])
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """The ids of distinct words, in one walk over them in order."""
+        scores, ends, unknown, pairs, follows, merges = self.scores, self.ends, self.unknown, self.pairs, self.follows, self.merges
         out: dict[str, bytes] = {}
         before = ""
         last: list[str] = [""]  # of each prefix of the word: the last piece of its best path
@@ -132,11 +118,30 @@ class Pieces:
                 common += 1
             del last[common + 1 :], forward[common + 1 :]
             for i in range(common + 1, n + 1):
-                best, piece = self._best(word, i, last, forward, self.merges)
-                if not piece:
-                    best, piece = self._best(word, i, last, forward, False)
+                # of the pieces that end here the one of the greatest sum
+                best, chosen = -math.inf, ""
+                for start in range(i - 1, -1, -1):
+                    piece = word[start:i]
+                    score = scores.get(piece)
+                    if score is None:
+                        if start == i - 1:
+                            score = unknown
+                        elif piece not in ends:
+                            break
+                        else:
+                            continue
+                    score += forward[start]
+                    if score > best:
+                        if merges:
+                            key = (last[start], piece)
+                            fits = pairs.get(key)
+                            if not (follows(*key) if fits is None else fits):
+                                continue
+                        best, chosen = score, piece
+                if not chosen:
+                    best, chosen = self._best(word, i, last, forward)
                 forward.append(best)
-                last.append(piece)
+                last.append(chosen)
             pieces, i = [], n
             while i:
                 pieces.append(last[i])
