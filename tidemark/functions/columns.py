@@ -30,6 +30,11 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def float_ratio(a: Column, b: Column) -> Column:
+    """a / b of doubles as IEEE 754 has it: infinite or NaN where b is zero, where Spark raises an error."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / b)
+
+
 def ceil_percent(n: Column, percent: int) -> Column:
     """ceil(n * percent / 100) without doubles."""
     total = n.cast("long") * F.lit(percent) + F.lit(99)

@@ -68,10 +68,12 @@ def price_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candle_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily candles of each user's values: body and wicks over the high of the last ten candles."""
+    """Daily candles of each user's values: body and wicks over the high of the last ten candles; NaN or infinite where that is zero."""
     e = table(spark, sf_dir, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.min_by("value", F.struct("ts", "event_id")).alias("o"), F.max("value").alias("h"), F.min("value").alias("l"), F.max_by("value", F.struct("ts", "event_id")).alias("c"))
     scale = F.max("h").over(Window.partitionBy("user_id").orderBy("day").rowsBetween(-9, 0))
-    return e.select("user_id", "day", F.round((F.col("c") - F.col("o")) / scale, 7).alias("body"), F.round((F.col("h") - F.greatest("o", "c")) / scale, 7).alias("upper"), F.round((F.least("o", "c") - F.col("l")) / scale, 7).alias("lower"))
+    e = e.withColumn("scale", scale)
+    over = lambda c: F.round(C.float_ratio(c, F.col("scale")), 7)
+    return e.select("user_id", "day", over(F.col("c") - F.col("o")).alias("body"), over(F.col("h") - F.greatest("o", "c")).alias("upper"), over(F.least("o", "c") - F.col("l")).alias("lower"))
 
 
 def shrinkage_and_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
