@@ -30,14 +30,30 @@ def context_weighted(rows: DataFrame, keys: list[str], at: str, matures: str, sc
     return hit.groupBy(*keys, "_day", "n").agg(F.min("_s").alias("radius")).withColumnRenamed("_day", at)
 
 
-def published_rewards(decisions: DataFrame, outcomes: DataFrame, key: str, at: str, matures: str, order: list[str]) -> DataFrame:
-    """outcomes with the key's first decision at or after their maturity, at which they are published (NULL: pending), and their place among those published then."""
+def hours(time: Column) -> Column:
+    """The number of the hour that a date or timestamp lies in."""
+    return F.unix_date(time.cast("date")) * 24 + F.hour(time)
+
+
+def published_rewards(decisions: DataFrame, outcomes: DataFrame, key: str, at: str, matures: str, order: list[str], span: Callable[[Column], Column] = hours) -> DataFrame:
+    """outcomes with the key's first decision at or after their maturity, at which they are published (NULL: pending), and their place among those published then.
+
+    Times are dealt into spans, whose number must not fall with time: an outcome finds its decision in its own span, or is
+    given the first one of the next span that has any. Outcomes without key or maturity stay pending.
+    """
     both = outcomes.select(key, F.col(matures).alias("_t"), F.lit(0).alias("_side"), F.struct(*outcomes.columns).alias("_row"))
-    d = decisions.select(key, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(outcomes.select(F.struct(*outcomes.columns).alias("r")).schema["r"].dataType).alias("_row")).distinct()
-    ahead = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
-    j = both.unionByName(d).withColumn("published_at", F.first(F.when(F.col("_side") == 1, F.col("_t")), ignorenulls=True).over(ahead)).where("_side = 0").select("_row.*", "published_at")
-    place = F.row_number().over(Window.partitionBy(key, "published_at").orderBy(matures, *order))
-    return j.withColumn("place", F.when(F.col("published_at").isNotNull(), place))
+    d = decisions.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(outcomes.select(F.struct(*outcomes.columns).alias("r")).schema["r"].dataType).alias("_row"))
+    both = both.unionByName(d).withColumn("_span", span(F.col("_t")))
+    decided = F.when(F.col("_side") == 1, F.col("_t"))
+    # from the latest back, as Spark computes a frame that ends with the partition anew for each row
+    back = Window.partitionBy(key, "_span").orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(key).orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    following = both.groupBy(key, "_span").agg(F.min(decided).alias("_first")).select(key, "_span", F.last("_first", ignorenulls=True).over(later).alias("_next"))
+    j = both.withColumn("_own", F.last(decided, ignorenulls=True).over(back)).where("_side = 0").join(following, [key, "_span"], "left")
+    j = j.select("_row.*", F.coalesce("_own", F.when(F.col("_span").isNotNull(), F.col("_next"))).alias("published_at"), F.col("_span"))
+    pending = F.when(F.col("published_at").isNull(), F.col("_span"))
+    place = F.row_number().over(Window.partitionBy(key, "published_at", pending).orderBy(matures, *order))
+    return j.withColumn("place", F.when(F.col("published_at").isNotNull(), place)).drop("_span")
 
 
 def feedback_ledger(cohorts: DataFrame, outcomes: DataFrame, cohort: str, row: str, at: str, limit: int) -> DataFrame:
