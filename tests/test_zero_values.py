@@ -1,9 +1,11 @@
 """Registered queries against their SQL on small tables of zeros, negative values and missing ones, where logarithms and ratios have no finite value."""
 
 import math
+import random
 from datetime import datetime
 
 import duckdb
+import pytest
 
 from tidemark.plans import registry
 
@@ -35,3 +37,25 @@ def test_candles_over_a_high_of_zero(spark, tmp_path):
     data = [(i, day(d, i), u, "view", v, None) for i, (u, d, v) in enumerate(values)]
     found = against_sql(spark, tmp_path, "events", data, EVENTS, "candle_geometry")
     assert len(found) == 9 and sum("nan" in r for r in found) >= 2 and any("inf" in r for r in found)
+
+
+def odd_closes():
+    """Users over twelve days, some days without the user; zeros, negative and missing values, equal times, negative users and a missing day."""
+    rng, rows = random.Random(4), []
+    for user in range(-3, 39):
+        for day in range(1, 13):
+            for _ in range(rng.choice([0, 1, 1, 2, 3]) if day % 6 == 0 else 1):
+                value = rng.choice([0.0, 0.0, -1.5, None]) if rng.random() < (0.04, 0.5, 0.2)[user % 3] else rng.randint(1, 400) / 8
+                rows.append((len(rows), datetime(2024, 1, day, rng.randint(0, 2)), user, "view", value, None))
+    return rows + [(len(rows) + k, None, k, "view", 1.0, None) for k in range(3)]
+
+
+def test_routes_of_odd_closes(spark, tmp_path):
+    assert len(against_sql(spark, tmp_path, "events", odd_closes(), EVENTS, "regime_routes")) > 30
+
+
+def test_routes_with_one_close_of_zero(spark, tmp_path):
+    """Its asset counts, and its infinite fall decides nothing else."""
+    data = [(10 * u + d, datetime(2024, 1, d), 3 * u, "view", 0.0 if (u, d) == (1, 5) else float(u + d), None) for u in range(4) for d in range(1, 6)]
+    found = against_sql(spark, tmp_path, "events", data, EVENTS, "regime_routes")
+    assert [r[0] for r in found] == ["0"] * 4 + ["4"]

@@ -35,6 +35,11 @@ def float_ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / b)
 
 
+def float_log(a: Column) -> Column:
+    """The natural logarithm as IEEE 754 has it: minus infinity of zero and NaN of less, where Spark gives NULL."""
+    return F.when(a == 0, float("-inf")).when(a < 0, float("nan")).otherwise(F.log(a))
+
+
 def ceil_percent(n: Column, percent: int) -> Column:
     """ceil(n * percent / 100) without doubles."""
     total = n.cast("long") * F.lit(percent) + F.lit(99)

@@ -11,9 +11,12 @@ from tidemark.session import table
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last are of the rows with a value; of equal times the smallest event_id counts, whatever the partitions."""
     e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id", F.pmod("user_id", F.lit(3)).alias("market"), F.col("ts").cast("date").alias("day")).agg(
-        F.min_by("value", "ts").alias("open"), F.max_by("value", "ts").alias("close"), F.max("value").alias("high"), F.min("value").alias("low"), F.count(F.lit(1)).alias("volume")
+    there = F.col("value").isNotNull() & F.col("ts").isNotNull()
+    first, last = F.when(there, F.struct("ts", "event_id")), F.when(there, F.struct("ts", F.bitwise_not("event_id")))
+    return e.groupBy("user_id", (F.col("user_id") % 3).alias("market"), F.col("ts").cast("date").alias("day")).agg(
+        F.min_by("value", first).alias("open"), F.max_by("value", last).alias("close"), F.max("value").alias("high"), F.min("value").alias("low"), F.count(F.lit(1)).alias("volume")
     )
 
 
