@@ -59,3 +59,12 @@ def test_routes_with_one_close_of_zero(spark, tmp_path):
     data = [(10 * u + d, datetime(2024, 1, d), 3 * u, "view", 0.0 if (u, d) == (1, 5) else float(u + d), None) for u in range(4) for d in range(1, 6)]
     found = against_sql(spark, tmp_path, "events", data, EVENTS, "regime_routes")
     assert [r[0] for r in found] == ["0"] * 4 + ["4"]
+
+
+def test_placebos_of_odd_closes(spark, tmp_path):
+    assert len(against_sql(spark, tmp_path, "events", odd_closes(), EVENTS, "placebo_routes")) > 8
+
+
+def test_a_missing_day_is_a_markets_last(spark, tmp_path):
+    data = [(10 * u + d, datetime(2024, 1, d) if d < 10 else None, 3 * u, "view", float(u + (d * 7) % 5), None) for u in range(4) for d in range(1, 11)]
+    against_sql(spark, tmp_path, "events", data, EVENTS, "placebo_routes")

@@ -125,7 +125,7 @@ def regime_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def placebo_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes against those of four sessions earlier: how often they agree."""
-    r = regime_routes(spark, sf_dir).withColumn("placebo", F.lag("route", 4).over(Window.partitionBy("market").orderBy("day")))
+    r = regime_routes(spark, sf_dir).withColumn("placebo", F.lag("route", 4).over(Window.partitionBy("market").orderBy(F.asc_nulls_last("day"))))
     return r.where("placebo is not null").groupBy("market", "route", "placebo").agg(F.count(F.lit(1)).alias("sessions"))
 
 
